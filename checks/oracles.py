@@ -193,7 +193,7 @@ def call_walk(seed, depth, up):
 
 
 WALKED = "SELECT node, symbol_key, name, path, CAST(depth AS INTEGER) AS depth, via FROM walked JOIN sym ON node = sym_id"
-add("upstream_callers_d4", WALKED, lookup_ctes(["Brand12.red_bolt"]) + call_walk("SELECT sym_id FROM cand", 4, True))
+add("upstream_callers_d4", WALKED, lookup_ctes(["red_bolt"]) + call_walk("SELECT sym_id FROM cand", 4, True))
 add("downstream_callees_d2", WALKED, lookup_ctes(["small_widget"]) + call_walk("SELECT sym_id FROM cand", 2, False))
 
 
@@ -333,3 +333,211 @@ add("session_dedup_conversations", r"""
 SELECT session_id, turn, key, '[Source for Symbol ' || key || ' already provided in Turn ' || last_turn || ' (L' || turn || '-L' || (turn + 1)
   || '). Omitted to preserve token budget. Pass force=True or call read_lines to inspect.]' AS reference FROM dedup WHERE is_deduplicated""",
     ", req AS (SELECT conv_id AS session_id, turn, 0 AS seq, role AS key, bool_or(length(text) < 40) AS force FROM conversations GROUP BY conv_id, turn, role)" + SESSION)
+
+# --- parsing: the generated files have fixed lines, so the expected rows are written out per file
+
+
+def file_rows(source, rows):
+    """Rows of literals and expressions, one per entry, for every row of ``source``."""
+    return " UNION ALL ".join(f"SELECT {', '.join(f'{e} AS {n}' for n, e in row.items())} FROM {source}" for row in rows)
+
+
+def symbol_rows(source, language, path, entries):
+    """entries: (name, owner, kind, signature, docstring, parent, params, first, last), SQL expressions."""
+    rows = []
+    for name, owner, kind, signature, doc, parent, params, first, last in entries:
+        key = (f"'{language}://' || {path} || CASE WHEN {owner} <> '' THEN '::' || {owner} ELSE '' END || '#' || {name}"
+               f" || {params} || '@L{first}'")
+        rows.append({"path": path, "name": name, "qualified_name": f"CASE WHEN {owner} <> '' THEN {owner} || '.' || {name} ELSE {name} END",
+                     "kind": f"'{kind}'", "signature": signature, "docstring": doc, "parent_key": parent, "symbol_key": key,
+                     "start_line": str(first), "end_line": str(last)})
+    return file_rows(source, rows)
+
+
+def reference_rows(path, source, entries):
+    """entries: (spelling, role, receiver, first, last, enclosing)."""
+    return file_rows(source, [
+        {"path": path, "spelling": s, "role": f"'{r}'", "receiver": v, "start_line": str(a), "end_line": str(b), "enclosing_key": e}
+        for s, r, v, a, b, e in entries])
+
+
+NONE = "'-'"
+# Java: one file per part
+JAVA = """(SELECT p_partkey AS k, replace(p_brand, '#', '') AS brand, upper(left(p_type, 1)) || lower(p_type[2:]) AS ty, p_size AS size, p_name AS nm,
+  'gen/' || replace(p_brand, '#', '') || '/Part' || p_partkey || '.java' AS path FROM part)"""
+J_CLASS = "'java://' || path || '::com.acme.' || brand || '#Part' || k || '@L6'"
+J_SHIP = "'java://' || path || '::Part' || k || '#ship' || size || '(int count, String note)@L10'"
+J_AUDIT = "'java://' || path || '::Part' || k || '#audit()@L18'"
+add("java_symbols", symbol_rows(JAVA, "java", "path", [
+    ("'Part' || k", "'com.acme.' || brand", "class", "'public class Part' || k || ' extends Base' || brand || ' implements ' || ty || 'Item'",
+     "ty || ' part.'", NONE, "''", 6, 22),
+    ("'ship' || size", "'Part' || k", "method", "'@Override' || chr(10) || '    public Map<String, Integer> ship' || size || '(int count, String note)'",
+     "'Ships the part.'", J_CLASS, "'(int count, String note)'", 10, 16),
+    ("'audit'", "'Part' || k", "method", "'void audit()'", NONE, J_CLASS, "'()'", 18, 21)]))
+JAVA_REFS = [
+    ("'Base' || brand", "extends", NONE, 6, 6, J_CLASS), ("ty || 'Item'", "implements", NONE, 6, 6, J_CLASS),
+    ("'reserve' || size", "call", "'store' || brand", 13, 13, J_SHIP), ("'open'", "call", "'ledger'", 15, 15, J_SHIP),
+    ("'close' || size", "call", "'ledger.open(\"' || ty || ' (x)\")'", 15, 15, J_SHIP),
+    ("'ship' || size", "call", NONE, 19, 19, J_AUDIT), ("'Ledger' || size", "instantiation", NONE, 20, 20, J_AUDIT)]
+add("java_references", reference_rows("path", JAVA, JAVA_REFS))
+# Kotlin: one file per supplier
+KOTLIN = "(SELECT s_suppkey AS k, s_nationkey AS n, 'gen/Supplier' || s_suppkey || '.kt' AS path FROM supplier)"
+K_DESK = "'kotlin://' || path || '::com.acme.n' || n || '#Shipper' || k || '@L3'"
+K_CLASS = "'kotlin://' || path || '::com.acme.n' || n || '#Supplier' || k || '@L8'"
+K_OFFER = "'kotlin://' || path || '::Supplier' || k || '#offer' || k || '(part: String, count: Int)@L10'"
+K_RANK = "'kotlin://' || path || '::Supplier' || k || '#rank()@L16'"
+add("kotlin_symbols", symbol_rows(KOTLIN, "kotlin", "path", [
+    ("'Shipper' || k", "'com.acme.n' || n", "class", "'interface Shipper' || k", NONE, NONE, "''", 3, 5),
+    ("'price' || n", "'Shipper' || k", "method", "'fun price' || n || '(id: String): Int'", NONE, K_DESK, "'(id: String)'", 4, 4),
+    ("'Supplier' || k", "'com.acme.n' || n", "class", "'class Supplier' || k || '(private val desk: Desk) : Nation' || n || '(desk), Trader'",
+     "'Ships goods.'", NONE, "''", 8, 19),
+    ("'offer' || k", "'Supplier' || k", "method", "'@Deprecated(\"old\")' || chr(10) || '    suspend fun offer' || k || '(part: String, count: Int): Boolean'",
+     NONE, K_CLASS, "'(part: String, count: Int)'", 10, 14),
+    ("'rank'", "'Supplier' || k", "method", "'fun rank(): Int'", NONE, K_CLASS, "'()'", 16, 18)]))
+add("kotlin_references", reference_rows("path", KOTLIN, [
+    ("'Nation' || n", "extends", NONE, 8, 8, K_CLASS), ("'Trader'", "implements", NONE, 8, 8, K_CLASS),
+    ("'quote' || n", "call", "'desk'", 12, 12, K_OFFER), ("'missing'", "call", NONE, 12, 12, K_OFFER),
+    ("'score' || n", "call", NONE, 16, 18, K_RANK)]))
+# Swift: one file per customer
+SWIFT = """(SELECT c_custkey AS k, c_nationkey AS n, upper(left(c_mktsegment, 1)) || lower(c_mktsegment[2:]) AS seg,
+  'gen/Customer' || c_custkey || '.swift' AS path FROM customer)"""
+S_CLASS = "'swift://' || path || '#Customer' || k || '@L4'"
+S_INIT = "'swift://' || path || '::Customer' || k || '#init@L7'"
+S_PAY = "'swift://' || path || '::Customer' || k || '#pay' || n || '@L11'"
+add("swift_symbols", symbol_rows(SWIFT, "swift", "path", [
+    ("'Customer' || k", "''", "class", "'public struct Customer' || k || ': Account, ' || seg", "'Customer account.'", NONE, "''", 4, 17),
+    ("'init'", "'Customer' || k", "method", "'public init(name: String)'", NONE, S_CLASS, "''", 7, 9),
+    ("'pay' || n", "'Customer' || k", "method", "'func pay' || n || '(amount: Int) -> Bool'", NONE, S_CLASS, "''", 11, 16)]))
+add("swift_references", reference_rows("path", SWIFT, [
+    ("'Account'", "implements", NONE, 4, 4, S_CLASS), ("seg", "implements", NONE, 4, 4, S_CLASS),
+    ("'trimmed'", "call", "'name'", 8, 8, S_INIT), ("'charge' || n", "call", "'wallet'", 15, 15, S_PAY)]))
+# Python: one file per order
+PYTHON = """(SELECT o_orderkey AS k, o_custkey AS cu, o_orderstatus AS st, format('{:.2f}', o_totalprice) AS pr,
+  'gen/order_' || o_orderkey || '.py' AS path FROM orders)"""
+P_CLASS = "'python://' || path || '#Order' || k || '@L4'"
+P_TOTAL = "'python://' || path || '::Order' || k || '#total@L7'"
+P_SETTLE = "'python://' || path || '::Order' || k || '#settle_' || st || '@L11'"
+P_INNER = "'python://' || path || '::Order' || k || '.settle_' || st || '#inner@L12'"
+P_LOAD = "'python://' || path || '#load_' || k || '@L17'"
+add("python_symbols", symbol_rows(PYTHON, "python", "path", [
+    ("'Order' || k", "''", "class", "'class Order' || k || '(Status' || st || ', Row)'", "'An order of customer ' || cu || '.'", NONE, "''", 4, 14),
+    ("'total'", "'Order' || k", "method", "'def total(self, rate: float = 1.0) -> float'", "'Total price: ' || pr || '.'", P_CLASS, "''", 7, 9),
+    ("'settle_' || st", "'Order' || k", "method", "'async def settle_' || st || '(self)'", NONE, P_CLASS, "''", 11, 14),
+    ("'inner'", "'Order' || k || '.settle_' || st", "method", "'def inner(x)'", NONE, P_SETTLE, "''", 12, 13),
+    ("'load_' || k", "''", "function", "'def load_' || k || '(path)'", NONE, NONE, "''", 17, 18)]))
+PYTHON_REFS = [
+    ("'Status' || st", "extends", NONE, 4, 14, P_CLASS), ("'Row'", "extends", NONE, 4, 14, P_CLASS),
+    ("'charge_' || cu", "call", "'book'", 9, 9, P_TOTAL), ("'helper'", "call", NONE, 13, 13, P_INNER),
+    ("'inner'", "call", NONE, 14, 14, P_SETTLE), ("'capture'", "call", "'gateway'", 14, 14, P_SETTLE),
+    ("'Order' || k", "call", NONE, 18, 18, P_LOAD)]
+add("python_references", reference_rows("path", PYTHON, PYTHON_REFS))
+MARK = "{\n        // ... implementation omitted ...\n    }"
+
+
+def skeleton_sql(source, text):
+    """Skeleton text with {placeholders} filled from SQL columns."""
+    import re as _re
+    parts = _re.split(r"\{(\w+)\}", text)
+    terms = []
+    for i, part in enumerate(parts):
+        literal = part.replace("'", "''").replace("\n", "' || chr(10) || '")
+        terms.append(f"CAST({part} AS VARCHAR)" if i % 2 else f"'{literal}'")
+    return f"SELECT path, {' || '.join(terms)} AS skeleton FROM {source}"
+
+
+add("java_skeletons", skeleton_sql(JAVA, f"""package com.acme.{{brand}};
+
+/**
+ * {{ty}} part.
+ */
+public class Part{{k}} extends Base{{brand}} implements {{ty}}Item {{
+    private int size = {{size}};
+
+    /** Ships the part. */
+    @Override
+    public Map<String, Integer> ship{{size}}(int count, String note) {MARK}
+
+    void audit() {MARK}
+}}
+"""))
+add("kotlin_skeletons", skeleton_sql(KOTLIN, f"""package com.acme.n{{n}}
+
+interface Shipper{{k}} {{
+    fun price{{n}}(id: String): Int
+}}
+
+// Ships goods.
+class Supplier{{k}}(private val desk: Desk) : Nation{{n}}(desk), Trader {{
+
+    @Deprecated("old")
+    suspend fun offer{{k}}(part: String, count: Int): Boolean {MARK}
+
+    fun rank(): Int = ...
+}}
+"""))
+add("swift_skeletons", skeleton_sql(SWIFT, f"""import Foundation
+
+/// Customer account.
+public struct Customer{{k}}: Account, {{seg}} {{
+    let nation = {{n}}
+
+    public init(name: String) {MARK}
+
+    func pay{{n}}(amount: Int) -> Bool {MARK}
+}}
+"""))
+add("python_skeletons", skeleton_sql(PYTHON, '''"""Order {k}."""
+
+
+class Order{k}(Status{st}, base.Row):
+    """An order of customer {cu}."""
+
+    def total(self, rate: float = 1.0) -> float:
+        """Total price: {pr}."""
+        # ... implementation omitted ...
+
+    async def settle_{st}(self):
+        # ... implementation omitted ...
+
+
+def load_{k}(path):
+    # ... implementation omitted ...
+'''))
+add("syntax_error_counts", f"SELECT path, CASE WHEN contains(path, 'Brand1/') THEN 1 ELSE 0 END AS parse_error_count FROM {JAVA}")
+
+# Markdown: one file per document; the text has t lines and b bytes
+MD = """(SELECT *, doc_id AS id, 'gen/doc_' || doc_id || '.md' AS path, strlen(source) AS sb, strlen(lang) AS lb, strlen(CAST(doc_id AS VARCHAR)) AS ib,
+  len(string_split(text, chr(10))) AS t, strlen(text) AS b FROM documents)"""
+S1 = "(sb + ib + 16)"
+S2 = f"({S1} + lb + 30)"
+S3 = f"({S2} + b + 12)"
+add("markdown_sections", " UNION ALL ".join(
+    f"SELECT path, {lv} AS heading_level, {h} AS heading, {hp} AS heading_path, {ct} AS content, CAST({sl} AS INTEGER) AS start_line,"
+    f" CAST({el} AS INTEGER) AS end_line, CAST({sb} AS INTEGER) AS start_byte, CAST({eb} AS INTEGER) AS end_byte FROM {MD}"
+    for lv, h, hp, ct, sl, el, sb, eb in [
+        (1, "source", "source", "'Intro of ' || id || '.'", "1", "4", "0", S1),
+        (2, "lang", "source || ' > ' || lang", "'```' || chr(10) || '# not a heading' || chr(10) || '```'", "5", "10", S1, S2),
+        (3, "'Text'", "source || ' > ' || lang || ' > Text'", STRIP, "11", "13 + t", S2, S3),
+        (2, "'End'", "source || ' > End'", "''", "14 + t", "14 + t", S3, f"{S3} + 7")]))
+add("markdown_outlines", f"""SELECT path, '# ' || source || ' (L1-L4)' || chr(10) || '  # ' || lang || ' (L5-L10)' || chr(10) || '    # Text (L11-L' || (13 + t) || ')'
+  || chr(10) || '  # End (L' || (14 + t) || '-L' || (14 + t) || ')' AS skeleton FROM {MD}""")
+add("markdown_parents", " UNION ALL ".join(f"SELECT path || '#' || {line} AS doc_id, {parent} AS parent_id FROM {MD}" for line, parent in (
+    ("1", NONE), ("5", "path || '#1'"), ("11", "path || '#5'"), ("(14 + t)", "path || '#1'"))))
+
+# Files to edges: names resolve in their own file, then by receiver, then over all files
+SYMBOL_SQL = symbol_rows(JAVA, "java", "path", [
+    ("'Part' || k", "'com.acme.' || brand", "class", "''", NONE, NONE, "''", 6, 22),
+    ("'ship' || size", "'Part' || k", "method", "''", NONE, NONE, "'(int count, String note)'", 10, 16),
+    ("'audit'", "'Part' || k", "method", "''", NONE, NONE, "'()'", 18, 21)]) + " UNION ALL " + symbol_rows(PYTHON, "python", "path", [
+    ("'Order' || k", "''", "class", "''", NONE, NONE, "''", 4, 14), ("'total'", "'Order' || k", "method", "''", NONE, NONE, "''", 7, 9),
+    ("'settle_' || st", "'Order' || k", "method", "''", NONE, NONE, "''", 11, 14),
+    ("'inner'", "'Order' || k || '.settle_' || st", "method", "''", NONE, NONE, "''", 12, 13),
+    ("'load_' || k", "''", "function", "''", NONE, NONE, "''", 17, 18)])
+add("parsed_call_graph", """
+SELECT enclosing_key AS source_key, coalesce(f.symbol_key, g.symbol_key) AS target_key, CASE WHEN role IN ('extends', 'implements') THEN role ELSE 'calls' END AS kind,
+  CASE WHEN f.n = 1 THEN 'class-scoped' WHEN g.n = 1 THEN 'probable' ELSE 'ambiguous' END AS resolution_kind,
+  CASE WHEN f.n = 1 THEN 0.95 WHEN g.n = 1 THEN 0.8 ELSE 0.45 END::DOUBLE AS confidence
+FROM pref LEFT JOIN (SELECT path, name, count(*) AS n, first(symbol_key) AS symbol_key FROM psym GROUP BY path, name HAVING count(*) = 1) f
+   ON pref.path = f.path AND spelling = f.name
+ LEFT JOIN (SELECT name, count(*) AS n, first(symbol_key ORDER BY path, start_line) AS symbol_key FROM psym GROUP BY name) g ON spelling = g.name
+WHERE g.n IS NOT NULL""", f", psym AS ({SYMBOL_SQL}), pref AS ({reference_rows('path', JAVA, JAVA_REFS)} UNION ALL {reference_rows('path', PYTHON, PYTHON_REFS)})")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions import identifiers as ident
 from codeloom.functions import paths, text
-from codeloom.operators import graph, indexing, lookup, resolve, search, session, usages
-from codeloom.plans import reports
+from codeloom.operators import (build, graph, indexing, lookup, pysyntax, resolve, search, sections, session,
+                                skeleton, syntax, usages)
+from codeloom.plans import generated, reports
 from codeloom.plans.carrier import doc_path, index_of
 
 QUERIES = {}
@@ -294,7 +295,7 @@ def _walk(df):
 
 @query
 def upstream_callers_d4(c):
-    return _walk(graph.describe_nodes(graph.upstream_callers(c.edges, _seeds(c, "Brand12.red_bolt"), 4), c.symbols, "via"))
+    return _walk(graph.describe_nodes(graph.upstream_callers(c.edges, _seeds(c, "red_bolt"), 4), c.symbols, "via"))
 
 
 @query
@@ -438,3 +439,79 @@ def session_dedup_conversations(c):
     out = session.deduplicate(requests).where("is_deduplicated")
     return out.select("session_id", "turn", "key",
                       text.back_reference("key", "source_turn", F.col("turn"), F.col("turn") + 1).alias("reference"))
+
+
+# --- parsing --------------------------------------------------------------------------------
+
+def _parsed(c, language):
+    return build.parse_sources(getattr(generated, language)(c))
+
+
+def _symbol_rows(symbols):
+    return symbols.select("path", "name", "qualified_name", "kind", "signature", F.coalesce("docstring", F.lit("-")).alias("docstring"),
+                          F.coalesce("parent_key", F.lit("-")).alias("parent_key"), "symbol_key", "start_line", "end_line")
+
+
+def _reference_rows(references):
+    return references.select("path", "spelling", "role", F.coalesce("receiver", F.lit("-")).alias("receiver"), "start_line", "end_line",
+                             F.coalesce("enclosing_key", F.lit("-")).alias("enclosing_key"))
+
+
+def _language_queries(language, parser):
+    def symbols(c):
+        return _symbol_rows(parser(getattr(generated, language)(c))[0])
+
+    def references(c):
+        found, refs, _ = parser(getattr(generated, language)(c))
+        return _reference_rows(refs if language == "python" else syntax.enclose_references(refs, found))
+
+    def skeletons(c):
+        files = getattr(generated, language)(c)
+        return skeleton.render(files, skeleton.redactions(files, parser(files)[0]))
+    for build_query, suffix in ((symbols, "symbols"), (references, "references"), (skeletons, "skeletons")):
+        build_query.__name__ = f"{language}_{suffix}"
+        query(build_query)
+
+
+for _language in ("java", "kotlin", "swift"):
+    _language_queries(_language, syntax.parse)
+_language_queries("python", pysyntax.parse)
+
+
+@query
+def syntax_error_counts(c):
+    broken = generated.java(c).withColumn("content", F.encode(F.regexp_replace(
+        F.col("content").cast("string"), r"(?s)\}\s*\z", F.when(F.col("path").contains("Brand1/"), "").otherwise("}")), "UTF-8"))
+    return syntax.syntax_errors(syntax.tokens(broken))
+
+
+@query
+def markdown_sections(c):
+    return sections.parse(generated.markdown(c)).select(
+        "path", "heading_level", "heading", joined("heading_path", " > ").alias("heading_path"), "content",
+        "start_line", "end_line", "start_byte", "end_byte")
+
+
+@query
+def markdown_outlines(c):
+    return sections.outline(sections.parse(generated.markdown(c)))
+
+
+@query
+def markdown_parents(c):
+    docs = sections.parse(generated.markdown(c)).withColumn("doc_id", F.concat("path", F.lit("#"), F.col("start_line").cast("string")))
+    linked = indexing.link_doc_parents(docs)
+    return linked.select("doc_id", F.coalesce("parent_id", F.lit("-")).alias("parent_id"))
+
+
+@query
+def parsed_call_graph(c):
+    """Files to edges: parse the generated Java and Python files, resolve, list the edges."""
+    files = generated.java(c).unionByName(generated.python(c))
+    files = files.withColumn("size_bytes", F.octet_length("content").cast("long")).withColumn("mtime_ns", F.lit(0).cast("long"))
+    tables = build.written({k: v for k, v in build.build_index(build.with_hash(files)).items() if k in ("symbols", "occurrences")})
+    resolved = resolve.resolve_occurrences(tables["occurrences"], tables["symbols"])
+    keys = tables["symbols"].select("sym_id", "symbol_key")
+    edges = resolve.derive_edges(resolved)
+    return (edges.join(keys.toDF("source_id", "source_key"), "source_id").join(keys.toDF("target_id", "target_key"), "target_id")
+            .select("source_key", "target_key", "kind", "resolution_kind", "confidence"))
