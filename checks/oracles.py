@@ -541,3 +541,9 @@ FROM pref LEFT JOIN (SELECT path, name, count(*) AS n, first(symbol_key) AS symb
    ON pref.path = f.path AND spelling = f.name
  LEFT JOIN (SELECT name, count(*) AS n, first(symbol_key ORDER BY path, start_line) AS symbol_key FROM psym GROUP BY name) g ON spelling = g.name
 WHERE g.n IS NOT NULL""", f", psym AS ({SYMBOL_SQL}), pref AS ({reference_rows('path', JAVA, JAVA_REFS)} UNION ALL {reference_rows('path', PYTHON, PYTHON_REFS)})")
+
+# --- streaming: the same answers as in batch
+SQL["session_dedup_stream"] = SQL["session_dedup_window"]
+add("stream_upsert", """
+, up AS (SELECT path, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN content || chr(10) || chr(10) || 'labelled' ELSE content END AS text FROM doc)
+SELECT path, 'markdown' AS language, sha256(text) AS content_hash, strlen(text) AS size_bytes, 1::BIGINT AS sections FROM up""")

@@ -10,13 +10,31 @@ def _id(*columns):
     return F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)))
 
 
+PARSED_SYMBOLS = ("path string, language string, name string, qualified_name string, kind string, signature string, docstring string, "
+                  "parent_key string, symbol_key string, start_byte int, end_byte int, start_line int, end_line int, "
+                  "body_start_byte int, body_end_byte int")
+PARSED_REFERENCES = ("path string, language string, spelling string, role string, start_byte int, end_byte int, start_line int, "
+                     "end_line int, receiver string, enclosing_key string")
+
+
 def parse_sources(files: DataFrame):
-    """(symbols, references, sections, errors) of files with path, language and content."""
-    symbols, references, errors = syntax.parse(files)
-    py_symbols, py_references, py_errors = pysyntax.parse(files)
-    symbols = symbols.unionByName(py_symbols).dropDuplicates(["path", "symbol_key"])
-    enclosed = syntax.enclose_references(references, symbols.where(F.col("language") != "python"))
-    return (symbols, enclosed.unionByName(py_references), sections.parse(files), errors.unionByName(py_errors))
+    """(symbols, references, sections, errors) of files with path, language and content.
+
+    Only parsers of languages that occur are planned; their number is fixed.
+    """
+    empty = files.sparkSession.createDataFrame
+    symbols, references = empty([], PARSED_SYMBOLS), empty([], PARSED_REFERENCES)
+    errors = empty([], "path string, parse_error_count int")
+    present = {r[0] for r in files.select("language").distinct().collect()}
+    if present & set(syntax.LANGUAGES):
+        found, refs, bad = syntax.parse(files)
+        symbols, errors = symbols.unionByName(found), errors.unionByName(bad)
+        references = references.unionByName(syntax.enclose_references(refs, found))
+    if "python" in present:
+        found, refs, bad = pysyntax.parse(files)
+        symbols, errors = symbols.unionByName(found), errors.unionByName(bad)
+        references = references.unionByName(refs)
+    return symbols.dropDuplicates(["path", "symbol_key"]), references, sections.parse(files), errors
 
 
 def build_index(files: DataFrame) -> dict[str, DataFrame]:

@@ -10,6 +10,9 @@ from codeloom.operators import (build, graph, indexing, lookup, pysyntax, resolv
                                 skeleton, syntax, usages)
 from codeloom.plans import generated, reports
 from codeloom.plans.carrier import doc_path, index_of
+from codeloom.sources.store import IndexStore
+from codeloom.streaming import dedup, watch
+from codeloom.streaming import files as streams
 
 QUERIES = {}
 LOOKUPS = ["blue_anvil", "Brand12.red_bolt", "java://types/Region.java#ASIA@L3", "java://types/Region.java#ASIA",
@@ -443,10 +446,6 @@ def session_dedup_conversations(c):
 
 # --- parsing --------------------------------------------------------------------------------
 
-def _parsed(c, language):
-    return build.parse_sources(getattr(generated, language)(c))
-
-
 def _symbol_rows(symbols):
     return symbols.select("path", "name", "qualified_name", "kind", "signature", F.coalesce("docstring", F.lit("-")).alias("docstring"),
                           F.coalesce("parent_key", F.lit("-")).alias("parent_key"), "symbol_key", "start_line", "end_line")
@@ -515,3 +514,36 @@ def parsed_call_graph(c):
     edges = resolve.derive_edges(resolved)
     return (edges.join(keys.toDF("source_id", "source_key"), "source_id").join(keys.toDF("target_id", "target_key"), "target_id")
             .select("source_key", "target_key", "kind", "resolution_kind", "confidence"))
+
+
+# --- streaming ------------------------------------------------------------------------------
+
+@query
+def session_dedup_stream(c):
+    """The event log as a stream of requests, each key with a range of its own."""
+    events = streams.replay(c.spark, c.dir, "events")
+    requests = events.select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"),
+        F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("turn"), F.col("event_type").alias("symbol_key"),
+        F.col("event_type").alias("symbol_name"), F.concat(F.col("event_type"), F.lit(".py")).alias("path"),
+        F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), (F.col("value") > 100).alias("force"))
+    out = streams.run_to_table(dedup.deduplicate_stream(requests), "dedup")
+    return out.select("seq", "is_deduplicated", F.coalesce("source_turn", F.lit(-1)).alias("source_turn"))
+
+
+@query
+def stream_upsert(c):
+    """Documents arrive as a stream and are upserted; then the labelled ones arrive changed."""
+    store = IndexStore(c.spark, streams.scratch(c.spark, "store"), buckets=16)
+    docs = streams.replay(c.spark, c.dir, "documents")
+    again = streams.replay(c.spark, c.dir, "labels")
+    texts = c.table("documents").select("doc_id", F.concat("text", F.lit("\n\nlabelled")).alias("text"), "source", "lang")
+
+    def as_files(df):
+        return df.select(doc_path().alias("path"), F.encode("text", "UTF-8").alias("content"),
+                         F.octet_length("text").cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ns"))
+    for stream, rows in ((docs, as_files), (again, lambda batch: as_files(texts.join(batch.select("doc_id").distinct(), "doc_id")))):
+        (stream.writeStream.foreachBatch(lambda batch, _, rows=rows: watch.sync_batch(store, rows(batch)) and None)
+         .option("checkpointLocation", streams.scratch(c.spark, "upsert")).trigger(availableNow=True).start().awaitTermination())
+    sections_found = store.read("docs").groupBy("path").agg(F.count("*").alias("sections"))
+    return store.read("files").join(sections_found, "path").select("path", "language", "content_hash", "size_bytes", "sections")
