@@ -62,8 +62,8 @@ def is_hidden(path) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """Regex of a shell glob; ``*`` crosses directory separators."""
-    return fnmatch.translate(pattern).replace(r"\z", r"\Z")
+    """Regex of a whole-string shell glob; ``*`` crosses directory separators."""
+    return "^" + fnmatch.translate(pattern).replace(r"\z", r"\Z")
 
 
 def is_excluded(path, excludes=C.DEFAULT_EXCLUDES) -> Column:
@@ -87,7 +87,7 @@ def is_gitignored(path, patterns=()) -> Column:
         if "/" not in bare:
             tests.append(name.rlike(glob_regex(bare)))
             # a bare name also ignores everything below a directory of that name
-            tests.append(path.rlike("(^|/)" + glob_regex(bare).removesuffix(r"\Z") + "/"))
+            tests.append(path.rlike("(^|/)" + glob_regex(bare).removeprefix("^").removesuffix(r"\Z") + "/"))
         else:
             tests.append(path.startswith(bare))
     return any_of(tests)

@@ -16,17 +16,20 @@ from codeloom import constants as C
 from codeloom.functions.like import contains_like
 from codeloom.operators.skew import salted_left_join
 
-DIRECT_SYMBOLS = 256   # names with more symbols than this use the substring index
+DIRECT = 256   # a name with more symbols and more distinct receivers than this uses the substring index
 
 
 def _first_symbol():
     return F.min(F.struct("path", "start_byte", "symbol_key", "sym_id"))["sym_id"]
 
 
-def receiver_matches(pairs: DataFrame, symbols: DataFrame, direct=DIRECT_SYMBOLS) -> DataFrame:
+def receiver_matches(pairs: DataFrame, symbols: DataFrame, direct=DIRECT) -> DataFrame:
     """Per distinct (spelling, receiver): how many symbols match, and the only one."""
-    crowded = (symbols.groupBy("name").agg(F.count("*").alias("_n"))
-               .where(F.col("_n") > direct).select("name"))
+    # comparing costs at most DIRECT rows per symbol or per receiver while either side is small
+    many_symbols = symbols.groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") > direct)
+    many_receivers = (pairs.groupBy(F.col("spelling").alias("name")).agg(F.count("*").alias("_r"))
+                      .where(F.col("_r") > direct))
+    crowded = many_symbols.join(many_receivers, "name").select("name")
     if crowded.isEmpty():
         return _compared_matches(pairs, symbols)
     small = symbols.join(crowded, "name", "left_anti")
@@ -35,7 +38,7 @@ def receiver_matches(pairs: DataFrame, symbols: DataFrame, direct=DIRECT_SYMBOLS
 
 
 def _compared_matches(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Comparison with each of the few symbols a name has."""
+    """Comparison of the receivers and symbols of a name, of which one side is small."""
     return (
         pairs.join(symbols.select(F.col("name").alias("spelling"), "qualified_name", "symbol_key",
                                   "path", "start_byte", "sym_id"), "spelling")
@@ -99,7 +102,7 @@ def _indexed_matches(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
     return plain.unionByName(several)
 
 
-def resolve_occurrences(occurrences: DataFrame, symbols: DataFrame, direct=DIRECT_SYMBOLS) -> DataFrame:
+def resolve_occurrences(occurrences: DataFrame, symbols: DataFrame, direct=DIRECT) -> DataFrame:
     """Occurrences with ``target_id``, ``resolution_kind`` and ``confidence``."""
     named = symbols.select("name", "path", "start_byte", "symbol_key", "sym_id", "qualified_name")
     in_file = named.groupBy("path", F.col("name").alias("spelling")).agg(

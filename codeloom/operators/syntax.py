@@ -87,13 +87,18 @@ def in_statements(ctx_tokens: DataFrame) -> DataFrame:
 
     A comment carries the number of the statement before it.
     """
-    by_kind = Window.partitionBy("path", "ctx", F.col("kind") == "comment").orderBy("pos")
     run = Window.partitionBy("path", "ctx").orderBy("pos").rowsBetween(*RUNNING)
-    near = F.struct("tok", "kind", "start_byte", "end_line")
-    far = F.struct("tok", "start_line", "end_byte", "end_line")
-    rows = (ctx_tokens.withColumn("l1", F.lag(near, 1).over(by_kind)).withColumn("l2", F.lag(near, 2).over(by_kind))
-            .withColumn("l4", F.lag("tok", 4).over(by_kind))
-            .withColumn("r1", F.lead(far, 1).over(by_kind)).withColumn("r2", F.lead(far, 2).over(by_kind)))
+    code = F.col("kind") != "comment"
+    rows = (ctx_tokens.withColumn("_near", F.when(code, F.struct("tok", "kind", "start_byte", "end_line")))
+            .withColumn("_far", F.when(code, F.struct("tok", "start_line", "end_byte", "end_line"))))
+
+    def neighbour(function, column, n):
+        # comments hold null and are stepped over
+        return F.expr(f"{function}({column}, {n}) IGNORE NULLS OVER (PARTITION BY path, ctx ORDER BY pos)")
+    rows = (rows.withColumn("l1", neighbour("lag", "_near", 1)).withColumn("l2", neighbour("lag", "_near", 2))
+            .withColumn("l4", neighbour("lag", "_near", 4)["tok"])
+            .withColumn("r1", neighbour("lead", "_far", 1)).withColumn("r2", neighbour("lead", "_far", 2))
+            .drop("_near", "_far"))
     p1, p2, k1 = F.col("l1.tok"), F.col("l2.tok"), F.col("l1.kind")
     no = F.lit(False)
     modifier = per_language(G.MODIFIERS, lambda words: p1.isin(*words))

@@ -8,6 +8,7 @@ from codeloom.functions import identifiers as ident
 from codeloom.functions import paths, text
 from codeloom.operators import (build, graph, indexing, lookup, pysyntax, resolve, search, sections, session,
                                 skeleton, syntax, usages)
+from codeloom.operators.lineage import shared_folder
 from codeloom.plans import generated, reports
 from codeloom.plans.carrier import doc_path, index_of
 from codeloom.sources.store import IndexStore
@@ -534,7 +535,7 @@ def session_dedup_stream(c):
 @query
 def stream_upsert(c):
     """Documents arrive as a stream and are upserted; then the labelled ones arrive changed."""
-    store = IndexStore(c.spark, streams.scratch(c.spark, "store"), buckets=16)
+    store = IndexStore(c.spark, shared_folder(c.spark, "store"), buckets=16)
     docs = streams.replay(c.spark, c.dir, "documents")
     again = streams.replay(c.spark, c.dir, "labels")
     texts = c.table("documents").select("doc_id", F.concat("text", F.lit("\n\nlabelled")).alias("text"), "source", "lang")
@@ -544,6 +545,6 @@ def stream_upsert(c):
                          F.octet_length("text").cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ns"))
     for stream, rows in ((docs, as_files), (again, lambda batch: as_files(texts.join(batch.select("doc_id").distinct(), "doc_id")))):
         (stream.writeStream.foreachBatch(lambda batch, _, rows=rows: watch.sync_batch(store, rows(batch)) and None)
-         .option("checkpointLocation", streams.scratch(c.spark, "upsert")).trigger(availableNow=True).start().awaitTermination())
+         .option("checkpointLocation", shared_folder(c.spark, "upsert")).trigger(availableNow=True).start().awaitTermination())
     sections_found = store.read("docs").groupBy("path").agg(F.count("*").alias("sections"))
     return store.read("files").join(sections_found, "path").select("path", "language", "content_hash", "size_bytes", "sections")

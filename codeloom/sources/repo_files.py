@@ -32,12 +32,13 @@ class _Tree:
         self.per_task = int(options.get("dirsPerTask", "64"))
         excludes = options.get("excludes", "\n".join(C.DEFAULT_EXCLUDES)).split("\n")
         ignored = [p.rstrip("/") for p in options.get("gitignore", "").split("\n") if p]
-        self.dir_patterns = [p.removesuffix("/**") for p in excludes] + ignored
+        self.by_path = [re.compile(glob_regex(p.removesuffix("/**"))) for p in excludes] + [re.compile(glob_regex(p)) for p in ignored]
+        self.by_name = [re.compile(glob_regex(p)) for p in ignored if "/" not in p]
 
     def _skip(self, rel, name):
         # whole directories only; Spark filters single files with the same rules afterwards
-        return name.startswith(".") or any(
-            re.match(glob_regex(p), rel) or re.match(glob_regex(p), name) and "/" not in p for p in self.dir_patterns)
+        return (name.startswith(".") or any(p.match(rel) for p in self.by_path)
+                or any(p.match(name) for p in self.by_name))
 
     def directories(self):
         todo = [""]

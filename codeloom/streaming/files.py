@@ -1,16 +1,8 @@
 """Benchmark tables replayed as streams through file sources."""
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from codeloom.operators.lineage import ensure_checkpoint_dir
-
-
-def scratch(spark, name: str) -> str:
-    """A fresh folder next to the session's checkpoints."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+from codeloom.operators.lineage import shared_folder
 
 
 def replay(spark, sf_dir: str, table: str) -> DataFrame:
@@ -22,7 +14,7 @@ def replay(spark, sf_dir: str, table: str) -> DataFrame:
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over the data available now and read its output back."""
     spark = stream.sparkSession
-    out, state = scratch(spark, name), scratch(spark, name + "-state")
+    out, state = shared_folder(spark, name), shared_folder(spark, name + "-state")
     (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(stream.schema).parquet(out)
