@@ -126,7 +126,9 @@ def _call() -> Column:
     # after "if x" and the like a brace opens a block, not a closure
     closure = ((F.col("language") != "java") & (n1 == "{") & (F.col("r1.start_line") == F.col("end_line"))
                & ~F.col("opening").isin(*G.BLOCK_WORDS))
-    named = ((F.col("kind") == "name") & ((n1 == "(") | closure) & ~F.col("tok").isin(*G.NOT_CALLS)
+    word = per_language(G.NOT_CALLS, lambda words: F.col("tok").isin(*words))
+    soft = per_language(G.NOT_BARE_CALLS, lambda words: F.col("tok").isin(*words)) & ~F.coalesce(p1 == ".", F.lit(False))
+    named = ((F.col("kind") == "name") & ((n1 == "(") | closure) & ~word & ~soft
              & ~F.coalesce(p1.isin("@", "case", "class", "fun", "func", "object", "interface", "is", "as")
                            | ((p1 == ":") & (p2 == "object")), F.lit(False)))
     made = (F.col("language") == "java") & (p1 == "new")
@@ -181,7 +183,7 @@ def declarations(stmts: DataFrame) -> DataFrame:
     # type parameters alone (before a constructor) are no return type
     java_type = F.trim(F.regexp_replace(bare, r"^<[^<>]*(?:<[^<>]*>[^<>]*)*>$", ""))
     has_body = F.endswith("shape", F.lit("{ }"))
-    java_function = ((F.col("language") == "java") & (F.col("f_name") != "") & ~F.col("f_name").isin(*G.NOT_CALLS)
+    java_function = ((F.col("language") == "java") & (F.col("f_name") != "") & ~F.col("f_name").isin(*G.NOT_CALLS["java"])
                      & ~F.endswith(F.trim("f_head"), F.lit("."))
                      & ~F.regexp_extract(bare, rf"^({G.NAME})", 1).isin("return", "new", "throw", "else", "assert", "yield", "case", "package", "import")
                      & ((java_type != "") | has_body))

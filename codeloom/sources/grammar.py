@@ -26,11 +26,22 @@ CONTINUATIONS = ("else", "catch", "finally", "where", "by", "as", "is", "in", "t
 BLOCK_WORDS = ("if", "while", "for", "switch", "when", "guard", "else", "do", "try", "catch", "repeat")
 
 # Words that are never the name of a call.
-NOT_CALLS = ("if", "while", "for", "switch", "when", "catch", "new", "class", "super", "this", "self", "return", "throw",
-             "else", "do", "try", "synchronized", "assert", "case", "default", "yield", "fun", "func", "val", "var", "let",
-             "constructor", "init", "get", "set", "guard", "defer", "repeat", "in", "is", "as", "where", "throws",
-             "finally", "object", "interface", "enum", "struct", "record", "protocol", "extension", "companion", "deinit",
-             "import", "package", "instanceof", "catch", "willSet", "didSet", "by", "await", "subscript")
+NOT_CALLS = {
+    "java": ("if", "while", "for", "switch", "catch", "new", "class", "super", "this", "return", "throw", "else", "do", "try",
+             "synchronized", "assert", "case", "default", "instanceof", "import", "package"),
+    "kotlin": ("if", "while", "for", "when", "catch", "class", "super", "this", "return", "throw", "else", "do", "try", "fun",
+               "val", "var", "object", "interface", "in", "is", "as", "import", "package", "typealias"),
+    "swift": ("if", "while", "for", "switch", "catch", "class", "super", "self", "return", "throw", "else", "do", "try", "func",
+              "var", "let", "guard", "defer", "repeat", "in", "is", "as", "where", "case", "default", "import", "enum", "struct",
+              "protocol", "extension", "await", "throws"),
+}
+
+# Words that name a call only after a dot.
+NOT_BARE_CALLS = {
+    "java": ("yield",),
+    "kotlin": ("get", "set", "init", "constructor", "by", "where", "finally", "companion"),
+    "swift": ("get", "set", "init", "deinit", "willSet", "didSet", "subscript"),
+}
 
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
 

@@ -12,6 +12,7 @@ import os
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from codeloom import constants as C
@@ -19,6 +20,10 @@ from codeloom import schemas
 from codeloom.functions.paths import glob_regex
 
 
+BATCH_BYTES = 16 << 20
+COLUMNS = tuple(field.split()[0] for field in schemas.SOURCES.split(", "))
+
+
 class Directories(InputPartition):
     def __init__(self, dirs, after=None, upto=None):
         self.dirs, self.after, self.upto = dirs, after, upto
@@ -83,6 +88,23 @@ class _Tree:
                     continue   # a file that vanishes or cannot be read is left out
                 yield (f"{rel}/{entry.name}" if rel else entry.name, content, stat.st_size, stat.st_mtime_ns)
 
+    def batches(self, part):
+        """Rows in Arrow batches of bounded bytes, whatever the file sizes."""
+        rows, held = [], 0
+        for row in self.rows(part):
+            rows.append(row)
+            held += row[2] if self.with_content else 256
+            if held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows):
+    types = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(COLUMNS))
+
 
 class RepoFilesReader(DataSourceReader):
     def __init__(self, options):
@@ -92,7 +114,7 @@ class RepoFilesReader(DataSourceReader):
         return self.tree.partitions()
 
     def read(self, partition):
-        return self.tree.rows(partition)
+        return self.tree.batches(partition)
 
 
 class RepoFilesStream(DataSourceStreamReader):
@@ -109,7 +131,7 @@ class RepoFilesStream(DataSourceStreamReader):
         return self.tree.partitions(start["mtime_ns"], end["mtime_ns"])
 
     def read(self, partition):
-        return self.tree.rows(partition)
+        return self.tree.batches(partition)
 
     def commit(self, end):
         pass

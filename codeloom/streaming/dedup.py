@@ -3,6 +3,9 @@
 Spans are remembered by symbol key, by symbol name and by file range. A request looks up its
 key first and its range only when the key is unknown; it is answered by a back reference when
 the span found was emitted in an earlier turn. A forced request emits again.
+
+Keys and ranges both name one file, so state is kept per (session, file): a busy session spreads
+over its files, and a task holds the rows one micro-batch brings for one of them.
 """
 
 import pandas as pd
@@ -49,5 +52,5 @@ class Tracker(StatefulProcessor):
 def deduplicate_stream(requests: DataFrame) -> DataFrame:
     """Streaming requests (columns of ``REQUEST``) to one output row each."""
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return requests.groupBy("session_id").transformWithStateInPandas(
+    return requests.groupBy("session_id", "path").transformWithStateInPandas(
         statefulProcessor=Tracker(), outputStructType=OUTPUT, outputMode="append", timeMode="none")
