@@ -431,6 +431,9 @@ PYTHON_REFS = [
     ("'inner'", "call", NONE, 14, 14, P_SETTLE), ("'capture'", "call", "'gateway'", 14, 14, P_SETTLE),
     ("'Order' || k", "call", NONE, 18, 18, P_LOAD)]
 add("python_references", reference_rows("path", PYTHON, PYTHON_REFS))
+SQL["java_flat_symbols"] = SQL["java_symbols"]
+add("kotlin_flat_symbols", "SELECT * REPLACE (CASE WHEN name LIKE 'Shipper%' THEN 'interface' ELSE kind END AS kind) FROM ("
+    + SQL["kotlin_symbols"][len(PRELUDE):] + ")")
 MARK = "{\n        // ... implementation omitted ...\n    }"
 
 

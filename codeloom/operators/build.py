@@ -1,5 +1,7 @@
 """Index tables from source files: parse, key, link and resolve."""
 
+import os
+
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.operators import indexing, pysyntax, sections, syntax
@@ -27,7 +29,7 @@ def parse_sources(files: DataFrame):
     errors = empty([], "path string, parse_error_count int")
     present = {r[0] for r in files.select("language").distinct().collect()}
     if present & set(syntax.LANGUAGES):
-        found, refs, bad = syntax.parse(files)
+        found, refs, bad = syntax.parse(files, os.environ.get("CODELOOM_PARSER_BACKEND", "nested"))
         symbols, errors = symbols.unionByName(found), errors.unionByName(bad)
         references = references.unionByName(syntax.enclose_references(refs, found))
     if "python" in present:

@@ -1,5 +1,7 @@
 """Text search over the search documents, rank fusion and graph-proximity ranking."""
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codeloom import constants as C
@@ -65,16 +67,14 @@ def bm25_matches(documents: DataFrame, tokens: list[str], path_prefix: str | Non
 
     figures = counted.agg(
         F.count("*").alias("docs"), F.avg("_len").alias("avg_len"),
-        *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(folded))))
-    figures = figures.select(F.struct("*")).scalar()
-    length_norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("_len") / figures["avg_len"])
+        *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(folded)))).first()   # one row
+    length_norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("_len") / F.lit(figures["avg_len"] or 1.0))
     score = F.lit(0.0)
     for i in range(len(folded)):
         df = figures[f"df{i}"]
-        idf = F.log((figures["docs"] - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, C.BM25_IDF_FLOOR).otherwise(idf)
+        idf = math.log((figures["docs"] - df + 0.5) / (df + 0.5))
         tf = F.col(f"_tf{i}")
-        score = score + idf * tf * (C.BM25_K1 + 1) / (tf + length_norm)
+        score = score + F.lit(idf if idf > 0 else C.BM25_IDF_FLOOR) * tf * (C.BM25_K1 + 1) / (tf + length_norm)
     hits = counted.drop("words").where(paths.any_of(F.col(f"_tf{i}") > 0 for i in range(len(folded))))
     if path_prefix:
         hits = hits.where(like_text("path", path_prefix + "%"))

@@ -212,6 +212,9 @@ def declarations(stmts: DataFrame) -> DataFrame:
     last, start = F.element_at("items", -1), F.element_at("items", 1)
     parens = F.when(F.col("_what").isin("function", "constructor") & (F.col("language") != "swift"),
                     F.try_element_at(F.filter(after, lambda t: t["tok"] == "("), F.lit(1)))
+    receiver_type = F.nullif(F.regexp_extract("f_head", rf"({G.NAME})(?: <[^.]*>)?(?: \?)? \. $", 1), F.lit(""))
+    receiver_type = F.when((F.col("language") == "kotlin") & (F.col("_what") == "function"), receiver_type)
+    modified = F.nullif(F.regexp_extract("_head", r"(?:^| )(enum|annotation|companion) (?:class|object) $", 1), F.lit(""))
     inside = (F.when(F.col("_what").isNull(), F.col("calls"))
               .when(F.col("_what").isin("function", "constructor"), F.filter("calls", lambda t: t["pos"] > F.col("body_pos")))
               .otherwise(F.slice("calls", 1, 0)))
@@ -223,7 +226,7 @@ def declarations(stmts: DataFrame) -> DataFrame:
             .withColumn("body_pos", F.when(F.col("_expr"), F.col("_value.pos")).otherwise(F.col("_body.pos")))
             .select("path", "language", "ctx", "stmt", "name", F.col("_what").alias("what"), "t_word", "body_pos",
                     _clean_comments(F.when(F.col("_what").isNotNull(), F.array_join("comments", "\n"))).alias("docstring"),
-                    header.alias("header"), inside.alias("calls"),
+                    header.alias("header"), inside.alias("calls"), receiver_type.alias("receiver_type"), modified.alias("modified"),
                     F.col("_start.start_byte").alias("start_byte"), F.col("_start.start_line").alias("start_line"),
                     F.when(F.col("_expr"), F.col("_last.end_byte")).when(F.col("_body").isNotNull(), F.col("_body.pair_end"))
                     .otherwise(F.col("_last.end_byte")).alias("end_byte"),
@@ -250,24 +253,57 @@ def package_of(content) -> Column:
             .otherwise(""))
 
 
-def parse(files: DataFrame):
+def parse(files: DataFrame, backend: str = "nested"):
     """(symbols, references, errors) of Java, Kotlin and Swift files with ``content``.
 
-    The text is cut once; what it declares and calls is written before the joins below.
+    The text is cut once; what it declares and calls is written before the joins below. The
+    ``flat`` backend names Java and Kotlin symbols without nesting: types belong to the package
+    and keep their declaring words as kind, Java methods belong to the last type of the file,
+    Kotlin functions to their receiver type or innermost type.
     """
     files = files.where(F.col("language").isin(*LANGUAGES))
     toks = tokens(files)
     found = materialize(declarations(statements(in_statements(in_contexts(toks)))))
     texts = files.select("path", "content")
-    return _symbols(found, files), _references(found, texts), syntax_errors(toks)
+    owned = _owned_flat(found) if backend == "flat" else _owned(found)
+    return _symbols(owned, files), _references(found, texts), syntax_errors(toks)
 
 
-def _symbols(found: DataFrame, files: DataFrame) -> DataFrame:
-    named = found.where(F.col("what").isNotNull() & (F.col("what") != "extension")).drop("header", "calls", "ctx", "stmt")
+def _declared(found: DataFrame) -> DataFrame:
+    return found.where(F.col("what").isNotNull() & (F.col("what") != "extension")).drop("header", "calls", "ctx", "stmt")
+
+
+def _owned(found: DataFrame) -> DataFrame:
+    """Declarations with the innermost declaration around each."""
+    named = _declared(found)
     owned = enclosing(named, named, "parent", F.struct(F.col("start_byte").alias("byte"), "name"), outside_own=True)
     # a Java constructor carries the name of its class; anything else of that shape is a call with a body
     owned = owned.where(~((F.col("language") == "java") & (F.col("what") == "constructor"))
                         | (F.col("name") == F.col("parent.name")))
+    return owned.withColumn("raw_kind", F.lit(None).cast("string"))
+
+
+def _owned_flat(found: DataFrame) -> DataFrame:
+    """Declarations with the owners of the flat backend; Swift keeps the nested ones."""
+    nested = _owned(found)
+    types = _declared(found).where(F.col("what") == "type")
+    payload = F.struct(F.col("start_byte").alias("byte"), "name")
+    functions = nested.where(F.col("what") != "type").drop("parent")
+    last = types.groupBy("path").agg(F.max_by(payload, "start_byte").alias("parent"))
+    java = functions.where(F.col("language") == "java").join(last, "path", "left")
+    kotlin = functions.where((F.col("language") == "kotlin") & (F.col("what") == "function"))
+    kotlin = enclosing(kotlin, types, "parent", payload)
+    extended = F.struct(F.lit(None).cast("int").alias("byte"), F.col("receiver_type").alias("name"))
+    kotlin = kotlin.withColumn("parent", F.when(F.col("receiver_type").isNotNull(), extended).otherwise(F.col("parent")))
+    words = F.when((F.col("language") == "kotlin") & F.col("modified").isNotNull(), F.concat("modified", F.lit(" "), "t_word")).otherwise(F.col("t_word"))
+    flat = (nested.where((F.col("what") == "type") & (F.col("language") != "swift"))
+            .withColumn("parent", F.lit(None).cast(nested.schema["parent"].dataType)).withColumn("raw_kind", words))
+    swift = nested.where(F.col("language") == "swift")
+    columns = nested.columns
+    return flat.select(columns).unionByName(java.select(columns)).unionByName(kotlin.select(columns)).unionByName(swift)
+
+
+def _symbols(owned: DataFrame, files: DataFrame) -> DataFrame:
     owned = owned.join(files.select("path", "content", package_of("content").alias("package")), "path")
     params = F.when(F.col("_p1").isNotNull(), byte_slice("content", F.col("_p1") + 1, F.col("_p2") - 1))
     upto = F.coalesce("body_start_byte", "end_byte")
@@ -276,7 +312,8 @@ def _symbols(found: DataFrame, files: DataFrame) -> DataFrame:
              .withColumn("signature", F.when(F.col("body_start_byte").isNull(), F.regexp_replace(signature, r"\s*;+\z", ""))
                          .otherwise(signature)).drop("content"))
     inside = F.col("parent").isNotNull()
-    kind = (F.when((F.col("language") == "kotlin") & (F.col("what") == "type"), "class")
+    kind = (F.when(F.col("raw_kind").isNotNull(), F.col("raw_kind"))
+            .when((F.col("language") == "kotlin") & (F.col("what") == "type"), "class")
             .when(F.col("what") == "type", functools.reduce(
                 lambda acc, kv: acc.when(F.col("t_word") == kv[0], kv[1]), list(G.KINDS.items())[1:],
                 F.when(F.col("t_word") == "class", "class")))

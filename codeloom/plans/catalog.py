@@ -478,6 +478,16 @@ for _language in ("java", "kotlin", "swift"):
 _language_queries("python", pysyntax.parse)
 
 
+@query
+def java_flat_symbols(c):
+    return _symbol_rows(syntax.parse(generated.java(c), "flat")[0])
+
+
+@query
+def kotlin_flat_symbols(c):
+    return _symbol_rows(syntax.parse(generated.kotlin(c), "flat")[0])
+
+
 @query
 def syntax_error_counts(c):
     broken = generated.java(c).withColumn("content", F.encode(F.regexp_replace(

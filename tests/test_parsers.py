@@ -196,3 +196,14 @@ def test_index_tables(files):
     assert all(o["enclosing_id"] in symbols for o in tables["occurrences"].collect() if o["enclosing_id"])
     docs = {r["heading"]: r for r in tables["docs"].collect()}
     assert docs["D"]["parent_id"] == docs["B"]["doc_id"] and docs["A"]["parent_id"] is None
+
+
+def test_flat_backend(files):
+    symbols = syntax.parse(files, "flat")[0].collect()
+    assert names(symbols, "s.kt") == {
+        ("interface", "com.demo.Repo"), ("method", "Repo.byId"), ("class", "com.demo.User"), ("class", "com.demo.Service"),
+        ("method", "Service.read"), ("companion object", "com.demo.Companion"), ("method", "Companion.of"), ("method", "String.tag")}
+    java = names(symbols, "A.java")
+    assert {("class", "com.demo.Accounts"), ("enum", "com.demo.Status"), ("record", "com.demo.Point"), ("interface", "com.demo.Finder"),
+            ("method", "Finder.find"), ("method", "Finder.all")} <= java
+    assert names(symbols, "w.swift") >= {("class", "Screen"), ("method", "Screen.make")}
