@@ -44,8 +44,17 @@ def min_matches(tokens: list[str]) -> int:
 
 
 def index_words(documents: DataFrame) -> DataFrame:
-    """Search documents with the words of title, path and body."""
-    return documents.withColumn("words", text.search_tokens(F.concat_ws(" ", "title", "path", "body")))
+    """Search documents with the words of title, path and body, each after a space, and their number."""
+    words = text.search_tokens(F.concat_ws(" ", "title", "path", "body"))
+    return (documents.withColumn("_list", words).withColumn("n_words", F.size("_list"))
+            .withColumn("words", F.concat(F.lit(" "), F.array_join("_list", " "))).drop("_list"))
+
+
+def prefix_count(words, prefix: str):
+    """How many words start with a prefix: occurrences of the prefix right after a space."""
+    mark = " " + prefix
+    without = F.replace(words, F.lit(mark), F.lit(""))
+    return ((F.octet_length(words) - F.octet_length(without)) / len(mark.encode())).cast("int")
 
 
 def bm25_matches(documents: DataFrame, tokens: list[str], path_prefix: str | None = None) -> DataFrame:
@@ -55,20 +64,16 @@ def bm25_matches(documents: DataFrame, tokens: list[str], path_prefix: str | Non
     by row, so no posting list and no document pair ever moves between tasks.
     """
     spark = documents.sparkSession
-    terms = [t for t in tokens if t]
-    folded = [spark.sql("SELECT 1").select(text.fold(F.lit(t))).first()[0] for t in terms]
-    indexed = documents if "words" in documents.columns else index_words(documents)
-
-    def frequency(t):
-        return F.size(F.filter("words", lambda w: F.startswith(w, F.lit(t))))
-    counted = indexed.withColumn("_len", F.size("words"))
+    # a token of several words asks for them in a row, the last as a prefix
+    asked = spark.sql("SELECT 1").select(*(F.array_join(text.search_tokens(F.lit(t)), " ") for t in tokens)).first()
+    folded = [words for words in asked if words]
+    counted = documents if "words" in documents.columns else index_words(documents)
     for i, t in enumerate(folded):
-        counted = counted.withColumn(f"_tf{i}", frequency(t))
-
+        counted = counted.withColumn(f"_tf{i}", prefix_count(F.col("words"), t))
     figures = counted.agg(
-        F.count("*").alias("docs"), F.avg("_len").alias("avg_len"),
+        F.count("*").alias("docs"), F.avg("n_words").alias("avg_len"),
         *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(folded)))).first()   # one row
-    length_norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("_len") / F.lit(figures["avg_len"] or 1.0))
+    length_norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("n_words") / F.lit(figures["avg_len"] or 1.0))
     score = F.lit(0.0)
     for i in range(len(folded)):
         df = figures[f"df{i}"]

@@ -174,13 +174,13 @@ class Carrier:
 
 
 @functools.lru_cache(maxsize=8)
-def _index(application: str, sf_dir: str) -> Carrier:
-    return Carrier(SparkSession.active(), sf_dir)
+def _index(spark: SparkSession, application: str, sf_dir: str) -> Carrier:
+    return Carrier(spark, sf_dir)
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Carrier:
     """The index over a folder, shared by all queries of one application."""
-    return _index(spark.sparkContext.applicationId, sf_dir)
+    return _index(spark, spark.sparkContext.applicationId, sf_dir)
 
 
 def doc_path() -> Column:
