@@ -181,17 +181,21 @@ def links_of(pairs: DataFrame, texts: DataFrame, k: int, counts, percent: int) -
     return members.groupBy("a", "block").applyInArrow(verify(k, counts, percent), "a bigint, b bigint")
 
 
+def could_link(x: str, y: str, percent: int):
+    """Whether sets can link by their sizes and the places of an n-gram that is the first they share."""
+    most = 1 + F.least(F.expr(f"{x}.n - {x}.place - 1"), F.expr(f"{y}.n - {y}.place - 1"))
+    return most * (100 + percent) >= F.expr(f"{x}.n + {y}.n") * percent
+
+
 def apart(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share an n-gram of their prefixes and, by their sizes and the n-gram's places, could
-    still link. The conditions are part of the join: pairs that fail them are never rows, and adaptive execution can
-    split an n-gram of very many sets."""
+    """Pairs of different components that share an n-gram of their prefixes and could still link. The conditions are part of the join: pairs that
+    fail them are never rows, and adaptive execution can split an n-gram of very many sets."""
     mixed = entries.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     entries = materialize(entries.join(materialize(mixed.select("gram")), "gram"))
     x, y = entries.alias("x"), entries.alias("y")
-    most = 1 + F.least(F.expr("x.n - x.place - 1"), F.expr("y.n - y.place - 1"))
-    could = ((F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component"))
-             & F.expr("x.n < y.n or x.n = y.n and x.id < y.id") & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
-    return x.join(y, could).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr("x.component <> y.component and (x.n < y.n or x.n = y.n and x.id < y.id)")
+                   & could_link("x", "y", percent))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +207,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id: str =
 
     Equal sets are one class from the start. Candidates of an n-gram are first verified against its smallest id only, which joins
     groups of near copies in linear work; after that, only pairs of different components are candidates, all of
-    which are verified: no link between components is lost. No text is moved but those of candidates.
+    which are verified: no link between components is lost. Only texts of candidates are compared.
 
     Rows of one id are versions of one document: what one of them links with, all reach. A row with a null id keeps its size, gets a null
     component and links with nothing. Other columns are ignored; ids must be integers. Shingles are compared by
@@ -216,13 +220,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id: str =
     counts = summed(docs.select("text").mapInArrow(bucket_counts(k), "key int, chunk int, counts binary"), 1, BUCKETS)[0]
     counts = spark.sparkContext.broadcast(counts)   # BUCKETS numbers
 
-    entries = docs.mapInArrow(prefixes(k, counts, percent), "id bigint, n int, gram bigint, place int")
-    entries = materialize(entries.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    grams = entries.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    entries = materialize(entries.join(materialize(grams.select("gram", "a")), "gram"))
-    texts = materialize(docs.join(entries.groupBy("id").agg(F.max("n").alias("n")), "id"))
+    # entries are made twice rather than kept: they are many, and making them is cheap
+    entries = docs.where("id is not null").mapInArrow(prefixes(k, counts, percent), "id bigint, n int, gram bigint, place int")
+    shared = materialize(entries.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("gram"))
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    entries = materialize(entries.join(shared, "gram").join(reps, "id", "left_semi"))
+    pivots = entries.groupBy("gram").agg(F.min(F.struct("id", "n", "place")).alias("p"), F.max("id").alias("z")).where("p.id < z")
+    star = entries.alias("e").join(materialize(pivots.select("gram", "p")), "gram").where("p.id < e.id").where(could_link("p", "e", percent))
+    star = materialize(star.select(F.col("p.id").alias("a"), F.col("e.id").alias("b")).distinct())
+    x, y = entries.alias("x"), entries.alias("y")
+    wanted = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr("x.id <> y.id") & could_link("x", "y", percent), "left_semi")
+    texts = materialize(docs.join(wanted.groupBy("id").agg(F.max("n").alias("n")), "id"))
 
-    star = materialize(entries.where("a < id").select("a", F.col("id").alias("b")).distinct())
     links = materialize(links_of(star, texts, k, counts, percent))
     joined = components(links, "a", "b").withColumnRenamed("node", "id")
     entries = entries.join(joined, "id", "left").select("gram", "id", "n", "place", F.coalesce("component", "id").alias("component"))
