@@ -141,10 +141,12 @@ class Trie:
 
 def verify(k: int, counts, percent: int):
     """One block: texts of a pivot and its candidates. Yields a spanning forest of the links between all of them."""
+    powers = Powers()
+
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
         column = table.column("text").combine_chunks()
-        sets = [ordered(g, counts.value)[::-1] for g in sets_of(column, k, Powers())]
+        sets = [ordered(g, counts.value)[::-1] for g in sets_of(column, k, powers)]
         parent = list(range(len(ids)))
 
         def root(i):

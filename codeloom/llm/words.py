@@ -57,7 +57,7 @@ class Powers:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, SLICE) + 1
+            size = max(n, 2 * len(self.up), 1 << 12)
             self.up = np.ones(size, np.uint64)
             self.down = np.ones(size, np.uint64)
             self.up[1:], self.down[1:] = BASE, pow(BASE, -1, 1 << 64)
