@@ -16,9 +16,11 @@ import pyarrow.compute as pc
 from codeloom.llm.words import slices, texts_of
 
 BATCH_BYTES = 32 << 20   # texts of which the distinct words are taken together
-JOINED = 2000            # words of one call
+JOINED = 200             # words of one string
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+# letters that all Unicode versions have, then ASCII punctuation but the apostrophe, which may start a contraction
+STEM = r"(?s)\A(?P<stem>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)(?P<tail>[!-&(-/:-@\[-`{-~]+)\z"
 ODD = rf"(?s:\A | {SPACES}|{SPACES} |{SPACES}\z)"
 
 
@@ -91,26 +93,43 @@ class Encoder:
         starts, own = np.unique(code[leads], return_inverse=True)
         inner = np.zeros(len(words), bool)
         inner[code[~leads]] = True
-        used = np.flatnonzero(inner)
         code[~leads] = (np.cumsum(inner) - 1)[code[~leads]]
-        code[leads] = len(used) + own
-        pieces, sizes = [], []
-        listed = words.take(pa.array(used)).to_pylist()
-        texts = [" " + " ".join(listed[i: i + JOINED]) for i in range(0, len(listed), JOINED)]
-        for i, found in enumerate(self.ids(texts)):
-            found = np.array(found, np.uint32)
-            begins = np.flatnonzero(self.spaced[found])
-            assert len(begins) == len(listed[i * JOINED: (i + 1) * JOINED]), "a word without a token of its own"
-            pieces.append(found)
-            sizes.append(np.diff(np.append(begins, len(found))))
-        for found in self.ids(words.take(pa.array(starts)).to_pylist()):
-            pieces.append(np.array(found, np.uint32))
-            sizes.append(np.array([len(found)]))
-        flat = np.concatenate(pieces)
-        size = np.concatenate(sizes).astype(np.int32)
-        begin = (np.cumsum(size) - size).astype(np.int32)
-        lengths = size[code]
-        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        shift = begin[code] - ends[:-1].astype(np.int32)
-        at = np.repeat(shift, lengths) + np.arange(ends[-1], dtype=np.int32)
-        return flat[at], ends[rows]
+        code[leads] = inner.sum() + own
+        flat, size = self._spaced(words.filter(pa.array(inner)))
+        lead = [np.array(found, np.uint32) for found in self.ids(words.take(pa.array(starts)).to_pylist())]
+        flat, size = np.concatenate([flat, *lead]), np.concatenate([size, [len(x) for x in lead]]).astype(np.int64)
+        return gathered(flat, size, code, rows)
+
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words after a space, and their numbers. Letters and the punctuation after them are cut apart by the tokenizer, so
+        words that differ in it share their letters' ids."""
+        parts = pc.extract_regex(words, STEM)
+        plain = pc.is_null(parts)
+        stems = pc.if_else(plain, words, pc.struct_field(parts, "stem")).dictionary_encode()
+        tails = pc.if_else(plain, pa.scalar("", words.type), pc.struct_field(parts, "tail")).dictionary_encode()
+        flat, size = self._distinct(stems.dictionary)
+        ends = [np.array(x, np.uint32) for x in self.ids(tails.dictionary.to_pylist())]
+        flat, size = np.concatenate([flat, *ends]), np.concatenate([size, [len(x) for x in ends]]).astype(np.int64)
+        code = np.empty(2 * len(words), np.int64)
+        code[::2], code[1::2] = stems.indices.to_numpy(), tails.indices.to_numpy() + len(stems.dictionary)
+        ids, bounds = gathered(flat, size, code, np.arange(0, len(code) + 1, 2))
+        return ids, np.diff(bounds)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space, by strings of many; a word begins with the token that holds its space."""
+        bounds = np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words.cast(pa.string())), " ").to_pylist() if len(words) else []
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in self.ids([" " + text for text in joined]))])
+        begins = np.flatnonzero(self.spaced[flat])
+        if len(begins) != len(words):
+            raise ValueError("a word has no token of its own")
+        return flat, np.diff(np.append(begins, len(flat)))
+
+
+def gathered(flat: np.ndarray, size: np.ndarray, code: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` (of ``size``, one after the other) in the order of ``code``, and where ``rows`` of codes begin and end in them."""
+    begin, lengths = np.cumsum(size) - size, size[code]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+    at = np.repeat((begin[code] - ends[:-1]).astype(kind), lengths) + np.arange(ends[-1], dtype=kind)
+    return flat[at], ends[rows]

@@ -12,16 +12,18 @@ from codeloom.llm.tokens import Encoder
 
 SHARD_TOKENS = 1 << 22   # a shard ends with the document that reaches this
 BLOCK = 512              # bits between stored ranks
-MAGIC = b"WVMX0001"
-HEADER = "<8sQQII"   # magic, tokens, documents, planes, bytes of a token
+MAGIC = b"WVMX0002"
+HEADER = "<8sQQI"   # magic, tokens, documents, planes
 
 
 class WaveletMatrix:
     """Ids of a shard as bit planes, from the highest bit down; below each plane the zeros of all ids come first, then the ones,
-    both in order. Ranks are stored for each block of bits, so an access, a count or an occurrence takes a few steps per plane."""
+    both in order. Ranks are stored for each block of bits, so an access, a count or an occurrence takes a few steps per plane. What the planes hold of an
+    id is its place in ``alphabet``, the shard's distinct ids by falling frequency: there are fewer planes, and the high ones are mostly zeros."""
 
-    def __init__(self, size: int, planes: list[np.ndarray], kind):
-        self.size, self.planes, self.kind = size, planes, kind
+    def __init__(self, size: int, planes: list[np.ndarray], alphabet: np.ndarray):
+        self.size, self.planes, self.alphabet = size, planes, alphabet
+        self.code = {int(x): i for i, x in enumerate(alphabet)}
         self.ranks, self.zeros = [], []
         for plane in planes:
             ones = np.bitwise_count(plane)
@@ -32,25 +34,30 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
-        high = int(ids.max()) if len(ids) else 0
-        kind = np.uint16 if high < 1 << 16 else np.uint32
-        row, planes = ids.astype(kind), []
-        for bit in range(max(1, high.bit_length()) - 1, -1, -1):
+        counts = np.bincount(ids) if len(ids) else np.zeros(1, np.int64)
+        alphabet = np.flatnonzero(counts)
+        alphabet = alphabet[np.argsort(-counts[alphabet], kind="stable")].astype(np.uint32)
+        kind = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
+        codes = np.zeros(len(counts), kind)
+        codes[alphabet] = np.arange(len(alphabet))
+        row, planes = codes[ids], []
+        for bit in range(max(1, (len(alphabet) - 1).bit_length()) - 1 if len(alphabet) else -1, -1, -1):
             ones = (row & kind(1 << bit)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            row = np.concatenate([row[~ones], row[ones]])
-        return cls(len(ids), planes, kind)
+            row = np.concatenate([np.compress(~ones, row), np.compress(ones, row)])
+        return cls(len(ids), planes, alphabet)
 
     def ids(self) -> np.ndarray:
         """All ids in order, plane by plane from the lowest."""
-        row = np.zeros(self.size, self.kind)
+        kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
+        row = np.zeros(self.size, kind)
         for i, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
-            zeros, above = self.zeros[len(self.planes) - 1 - i], np.empty(self.size, self.kind)
-            above[~ones] = row[:zeros]
-            above[ones] = row[zeros:] | self.kind(1 << i)
+            zeros, above = self.zeros[len(self.planes) - 1 - i], np.empty(self.size, kind)
+            above[np.flatnonzero(~ones)] = row[:zeros]
+            above[np.flatnonzero(ones)] = row[zeros:] | kind(1 << i)
             row = above
-        return row
+        return self.alphabet[row]
 
     def _ones(self, level: int, i: int) -> int:
         """Ones before place ``i`` of a plane."""
@@ -75,16 +82,16 @@ class WaveletMatrix:
             ones = self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
-        return value
+        return int(self.alphabet[value])
 
     def rank(self, value: int, end: int) -> int:
         """Occurrences of an id before place ``end``."""
-        first, last = self._range(value, 0, end)
+        if value not in self.code:
+            return 0
+        first, last = self._range(self.code[value], 0, end)
         return last - first
 
     def _range(self, value: int, first: int, last: int) -> tuple[int, int]:
-        if value >> len(self.planes):
-            return 0, 0
         for level in range(len(self.planes)):
             a, b = self._ones(level, first), self._ones(level, last)
             if value >> (len(self.planes) - 1 - level) & 1:
@@ -95,10 +102,10 @@ class WaveletMatrix:
 
     def select(self, value: int, nth: int) -> int:
         """Place of the ``nth`` (from 0) occurrence of an id; IndexError beyond the last."""
-        first, last = self._range(value, 0, self.size)
-        if not 0 <= nth < last - first:
+        if not 0 <= nth < self.rank(value, self.size):
             raise IndexError(nth)
-        i = first + nth
+        value = self.code[value]
+        i = self._range(value, 0, self.size)[0] + nth
         for level in range(len(self.planes) - 1, -1, -1):
             bit = value >> (len(self.planes) - 1 - level) & 1
             i = self._place(level, i - self.zeros[level] if bit else i, bit)
@@ -106,10 +113,10 @@ class WaveletMatrix:
 
 
 def to_bytes(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> bytes:
-    """One shard: header, then its documents' ids, lengths and null marks, then the planes, each part compressed."""
+    """One shard: header, then its documents' ids, lengths and null marks, its alphabet and the planes, each part compressed."""
     matrix = WaveletMatrix.build(ids)
-    parts = [docs.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), np.packbits(valid).tobytes(), *(p.tobytes() for p in matrix.planes)]
-    out = [struct.pack(HEADER, MAGIC, len(ids), len(docs), len(matrix.planes), np.dtype(matrix.kind).itemsize)]
+    parts = [docs.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), np.packbits(valid).tobytes(), matrix.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in matrix.planes)]
+    out = [struct.pack(HEADER, MAGIC, len(ids), len(docs), len(matrix.planes))]
     for part in parts:
         packed = pa.compress(part, codec="zstd", asbytes=True)
         out += [struct.pack("<QQ", len(part), len(packed)), packed]
@@ -118,16 +125,16 @@ def to_bytes(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, valid: np.n
 
 def from_bytes(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
     """A shard's matrix, and its documents' ids, lengths and whether the id is not null."""
-    magic, size, rows, planes, width = struct.unpack_from(HEADER, blob)
+    magic, size, rows, planes = struct.unpack_from(HEADER, blob)
     if magic != MAGIC:
         raise ValueError("not a shard of token ids")
     at, parts = struct.calcsize(HEADER), []
-    for _ in range(3 + planes):
+    for _ in range(4 + planes):
         plain, packed = struct.unpack_from("<QQ", blob, at)
         at += 16
         parts.append(np.frombuffer(pa.decompress(blob[at: at + packed], plain, codec="zstd", asbytes=True), np.uint8) if plain else np.zeros(0, np.uint8))
         at += packed
-    matrix = WaveletMatrix(size, parts[3:], np.uint16 if width == 2 else np.uint32)
+    matrix = WaveletMatrix(size, parts[4:], parts[3].view("<u4"))
     return matrix, parts[0].view("<i8"), parts[1].view("<i8"), np.unpackbits(parts[2], count=rows).astype(bool)
 
 
