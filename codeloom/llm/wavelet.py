@@ -141,16 +141,16 @@ def from_bytes(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.n
 def writer(content, end_id: int, shard_tokens: int):
     def run(batches):
         encoder = Encoder(content.value)
-        part, number, parts, held = TaskContext.get().partitionId(), 0, [], 0
+        part, number, before, parts, held = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def shard():
             docs = pa.chunked_array([p[0] for p in parts], pa.int64()).combine_chunks()
             lengths = np.concatenate([p[2] for p in parts])
             ids = np.concatenate([p[1] for p in parts])
             blob = to_bytes(ids, docs.fill_null(0).to_numpy(zero_copy_only=False), lengths, docs.is_valid().to_numpy(zero_copy_only=False))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()),
-                                               pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
-                                              ["part", "number", "n_docs", "n_tokens", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()),
+                                               pa.array([len(docs)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
+                                              ["part", "number", "before", "n_docs", "n_tokens", "content"])
 
         for batch in batches:
             for first, flat, ends in encoder.encode(batch.column(1)):
@@ -168,7 +168,7 @@ def writer(content, end_id: int, shard_tokens: int):
                     a = b
                     if held >= shard_tokens:
                         yield shard()
-                        parts, held, number = [], 0, number + 1
+                        parts, held, number, before = [], 0, number + 1, before + held
         if parts:
             yield shard()
     return run
@@ -178,14 +178,14 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, sha
     """Writes the ids of all documents, each followed by ``end_id``, in ascending order of id, as one file per shard.
 
     Texts are dealt out once, by ranges of (id, text's hash), so a repeated id does not make a range that can't be split; nulls come last. A file is a table of
-    one row: the shard's place (``part``, ``number``), its numbers of documents and ids, and the wavelet matrix itself. Spark's commit
+    one row: the shard's place (``part``, ``number``, and ``before``, the ids of its part before it), its numbers of documents and ids, and the wavelet matrix itself. Spark's commit
     makes the files of a lost task whole or absent. Null is the empty text. A shard holds about ``shard_tokens`` ids, more only if its last document is longer.
     """
     content = docs.sparkSession.sparkContext.broadcast(tokenizer)
     keyed = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
     shards = keyed.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(
-        writer(content, end_id, shard_tokens), "part int, number int, n_docs bigint, n_tokens bigint, content binary")
+        writer(content, end_id, shard_tokens), "part int, number int, before bigint, n_docs bigint, n_tokens bigint, content binary")
     shards.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(folder)
 
 
@@ -203,16 +203,15 @@ def reader(batches):
 
 
 def with_base(shards: DataFrame) -> DataFrame:
-    """Adds ``base``: the ids of all shards before. Only totals of parts come to the driver."""
+    """Adds ``base``: the ids of all shards before. Totals of parts, one row for each task that wrote, go through the driver to all tasks;
+    the shards themselves stay where they are read."""
     totals = sorted(tuple(r) for r in shards.groupBy("part").agg(F.sum("n_tokens")).collect())
-    before, rows = 0, []
+    at, rows = 0, []
     for part, total in totals:
-        rows.append((part, before))
-        before += total
-    bases = shards.sparkSession.createDataFrame(rows, "part int, before bigint")
-    inside = shards.select("part", "number", "n_tokens").join(bases, "part").selectExpr(
-        "part", "number", "before + sum(n_tokens) over (partition by part order by number) - n_tokens as base")
-    return shards.join(inside, ["part", "number"])
+        rows.append((part, at))
+        at += total
+    bases = F.broadcast(shards.sparkSession.createDataFrame(rows, "part int, start bigint"))
+    return shards.join(bases, "part").withColumn("base", F.col("before") + F.col("start"))
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
