@@ -56,12 +56,11 @@ class Spelled:
         code = ((before << np.uint32(16)) | (wide << np.uint32(8)) | after) * np.uint32(0x9E3779B1)
         self.keep, self.grams = keep, (code >> np.uint32(16)).astype(np.int32)
         # code point of a word's first character
-        b = np.concatenate([body, np.zeros(3, np.uint8)]).astype(np.int64)
-        s = self.start
-        lead = b[s]
-        two = (lead & 31) << 6 | b[s + 1] & 63
-        three = (lead & 15) << 12 | (b[s + 1] & 63) << 6 | b[s + 2] & 63
-        four = (lead & 7) << 18 | (b[s + 1] & 63) << 12 | (b[s + 2] & 63) << 6 | b[s + 3] & 63
+        padded = np.concatenate([body, np.zeros(3, np.uint8)])
+        lead, b1, b2, b3 = (padded[self.start + i].astype(np.int32) for i in range(4))
+        two = (lead & 31) << 6 | b1 & 63
+        three = (lead & 15) << 12 | (b1 & 63) << 6 | b2 & 63
+        four = (lead & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63
         point = np.where(lead < 128, lead, np.where(lead < 224, two, np.where(lead < 240, three, four)))
         bounds = np.array([r[0] for r in RANGES])
         kinds = np.array([SCRIPTS.index(r[1]) for r in RANGES])
@@ -168,11 +167,9 @@ def labeller(model, text: int, switch: float):
                 spelled = Spelled(data, offsets[first: last + 1])
                 if not len(spelled.start):
                     continue
-                sums = np.zeros((len(spelled.keep) + 1, len(names)))
-                np.cumsum(np.where(spelled.keep[:, None], table[spelled.grams], 0), axis=0, out=sums[1:])
-                scores = sums[spelled.end] - sums[spelled.start] - barred[spelled.script]
-                path = label_words(scores, spelled.first, switch)
                 size = spelled.end - spelled.start
+                scores = np.add.reduceat(table[spelled.grams[spelled.keep]], np.cumsum(size) - size, axis=0) - barred[spelled.script]
+                path = label_words(scores, spelled.first, switch)
                 owner = np.repeat(np.arange(last - first), np.diff(spelled.first))
                 share = np.bincount(owner * len(names) + path, size, (last - first) * len(names)).reshape(-1, len(names))
                 top = share.argmax(axis=1)

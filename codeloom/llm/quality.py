@@ -8,7 +8,7 @@ from codeloom.llm.storage import held_out
 from codeloom.llm.words import slices, texts_of
 
 FEATURES = 4096
-BLOCK = 512   # documents of one matrix product
+BLOCK = 256   # documents of one matrix product
 
 
 def classes() -> np.ndarray:

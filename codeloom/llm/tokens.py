@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from codeloom.llm.words import slices, texts_of
 
 BATCH_BYTES = 32 << 20   # texts of which the distinct words are taken together
+RANGE_BYTES = 4 << 20    # texts whose ids are put together at once
 JOINED = 200             # words of one string
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -55,21 +56,29 @@ class Encoder:
         column = column.cast(pa.large_string()).fill_null("")
         _, offsets = texts_of(column)
         for first, last in slices(offsets, BATCH_BYTES):
-            yield first, *self._encode(column.slice(first, last - first))
-
-    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = np.ones(len(column), bool)
-        if self.by_word:
-            test = pc.match_substring_regex(column, ODD)
-            for token in self.added:
-                test = pc.or_(test, pc.match_substring(column, token))
-            odd = test.to_numpy(zero_copy_only=False)
-        flat, offsets = self._by_word(column.filter(pa.array(~odd)))
-        if not odd.any():
-            return flat, offsets
-        lengths = np.zeros(len(column), np.int64)
+            part = column.slice(first, last - first)
+            odd = self._odd(part)
+            flat, size, code, rows = self._by_word(part.filter(pa.array(~odd)))
+            good = np.concatenate([[0], np.cumsum(~odd)])
+            for a, b in slices(offsets[first: last + 1], RANGE_BYTES):
+                bounds = rows[good[a]: good[b] + 1]
+                ids, ends = gathered(flat, size, code[bounds[0]: bounds[-1]], bounds - bounds[0])
+                if odd[a:b].any():
+                    ids, ends = self._merged(part.slice(a, b - a), odd[a:b], ids, ends)
+                yield first + a, ids, ends
+
+    def _odd(self, column: pa.Array) -> np.ndarray:
+        if not self.by_word:
+            return np.ones(len(column), bool)
+        test = pc.match_substring_regex(column, ODD)
+        for token in self.added:
+            test = pc.or_(test, pc.match_substring(column, token))
+        return test.to_numpy(zero_copy_only=False)
+
+    def _merged(self, column: pa.Array, odd: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the other rows are given; those of odd rows are made from the whole texts and put between them."""
+        lengths, rows = np.zeros(len(odd), np.int64), np.flatnonzero(odd)
         lengths[~odd] = np.diff(offsets)
-        rows = np.flatnonzero(odd)
         found = [np.array(x, np.uint32) for x in self.ids(column.take(pa.array(rows)).to_pylist())]
         lengths[rows] = [len(x) for x in found]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -79,9 +88,10 @@ class Encoder:
             ids[ends[row]: ends[row + 1]] = x
         return ids, ends
 
-    def _by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, their numbers, the words of all rows as places among these, and the first of each row (one more than rows)."""
         if not len(column):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
         lists = pc.split_pattern(column, " ")
         rows = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
@@ -93,12 +103,11 @@ class Encoder:
         starts, own = np.unique(code[leads], return_inverse=True)
         inner = np.zeros(len(words), bool)
         inner[code[~leads]] = True
-        code[~leads] = (np.cumsum(inner) - 1)[code[~leads]]
+        code = (np.cumsum(inner, dtype=np.int32) - 1)[code]
         code[leads] = inner.sum() + own
         flat, size = self._spaced(words.filter(pa.array(inner)))
         lead = [np.array(found, np.uint32) for found in self.ids(words.take(pa.array(starts)).to_pylist())]
-        flat, size = np.concatenate([flat, *lead]), np.concatenate([size, [len(x) for x in lead]]).astype(np.int64)
-        return gathered(flat, size, code, rows)
+        return np.concatenate([flat, *lead]), np.concatenate([size, [len(x) for x in lead]]).astype(np.int64), code, rows
 
     def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words after a space, and their numbers. Letters and the punctuation after them are cut apart by the tokenizer, so

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2_000_000
+SLICE = 1_000_000
 BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2**64
 LONGEST = 64                # words of an n-gram
 
