@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codeloom.llm.storage import free_prefix
 from codeloom.llm.words import Powers, Words, alphanumeric, slices, texts_of
 
 BLOCK_BYTES = 4 << 20   # benchmark text whose windows one scan holds
@@ -145,10 +146,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = 10, text: str = "text
 def remove_leaks(docs: DataFrame, bench: DataFrame, by: str = "document", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold an occurrence (``by="document"``), or with the hit spans cut out of
     their texts (``by="span"``)."""
-    found = find_leaks(docs, bench, text=text, prefix="__leak_", **options)
+    prefix = free_prefix(docs.columns)
+    found = find_leaks(docs, bench, text=text, prefix=prefix, **options)
     if by == "document":
-        return found.where("__leak_n_hit = 0").select(*docs.columns)
-    raw, spans = F.encode(F.col(text), "UTF-8"), F.col("__leak_spans")
+        return found.where(F.col(prefix + "n_hit") == 0).select(*docs.columns)
+    raw, spans = F.encode(F.col(text), "UTF-8"), F.col(prefix + "spans")
     starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(text)))
     parts = F.zip_with(starts, ends, lambda s, e: F.decode(F.substring(raw, s + 1, e - s), "UTF-8"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm.components import components
-from codeloom.llm.storage import gathered_rows, materialize, summed
+from codeloom.llm.storage import free_prefix, gathered_rows, materialize, summed
 from codeloom.llm.words import Powers, Words, not_space, shingle_sets, slices, texts_of
 
 BUCKETS = 1 << 18       # of the n-gram order: 2 MB, whatever the size of the input
@@ -253,13 +253,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id",
     """``docs`` with one document of each component: that of the smallest id, of equal rows or versions the one of the smallest
     text. Rows with a null id and documents without words stay."""
     found = jaccard_components(docs, k, percent, id, text)
-    gone = found.where(F.col(id) > F.col("component_id")).select(F.col(id).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")
-    again = found.groupBy(id).count().where("count > 1").select(F.col(id).alias("__again"))
-    if again.where(F.col("__again").isNotNull()).isEmpty():
+    gone, again, row = (free_prefix(docs.columns) + name for name in ("gone", "again", "row"))
+    left = docs.join(found.where(F.col(id) > F.col("component_id")).select(F.col(id).alias(gone)).distinct(), F.col(id) == F.col(gone), "left_anti")
+    several = found.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").select(F.col(id).alias(again))
+    if several.isEmpty():
         return left
-    single = left.join(again, F.col(id) == F.col("__again"), "left_anti")
+    single = left.join(several, F.col(id) == F.col(again), "left_anti")
+    repeated = left.join(several, F.col(id) == F.col(again), "left_semi")
     worded = F.coalesce(F.length(F.regexp_replace(F.col(text), "[\\x20\\x09-\\x0D]+", "")), F.lit(0)) > 0
-    several = left.join(again, F.col(id) == F.col("__again"), "left_semi")
-    first = several.where(worded).groupBy(F.col(id).alias("__id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text).alias("row"))
-    return single.union(several.where(~worded)).union(first.select("row.*"))
+    first = repeated.where(worded).groupBy(F.col(id).alias(gone)).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text).alias(row))
+    return single.union(repeated.where(~worded)).union(first.select(f"{row}.*"))

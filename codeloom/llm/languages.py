@@ -154,7 +154,7 @@ def label_words(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndar
     return path
 
 
-def labeller(model, text: int, switch: float):
+def labeller(model, text: int, switch: float, added: list[str]):
     def run(batches):
         names, table, barred = model.value["languages"], model.value["scores"], model.value["barred"]
         kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))]
@@ -185,12 +185,12 @@ def labeller(model, text: int, switch: float):
                     predicted[first + r] = names[top[r]]
                     score[first + r] = share[r, top[r]] / share[r].sum()
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip((predicted, score, spans), kinds))],
-                                             [*batch.schema.names, "__lang", "__score", "__spans"])
+                                             [*batch.schema.names, *added])
     return run
 
 
 def identify_languages(docs: DataFrame, train: DataFrame | None = None, switch: float = SWITCH, id: str = "doc_id", text: str = "text", lang: str = "lang",
-                       per_language: int = 4000) -> DataFrame:
+                       per_language: int = 4000, prefix: str = "__") -> DataFrame:
     """The columns of ``docs`` and ``__lang``, ``__score`` (share of the text's letters that are in spans of this language) and ``__spans`` (byte ranges, each with
     its language).
 
@@ -199,13 +199,15 @@ def identify_languages(docs: DataFrame, train: DataFrame | None = None, switch:
     broadcast: at most ``MAX_LANGUAGES`` columns. Documents aren't moved.
 
     A text that is null or has no letter is ``und`` with score 0 and no spans, and so are all if nothing could be learned. Ids of the evaluation fold are never
-    learned from; only the text is an input of a prediction. Equal shares give the language that sorts first. Repeated rows are kept.
+    learned from; only the text is an input of a prediction. Equal shares give the language that sorts first. Repeated rows are kept. ``prefix`` begins the
+    names of the new columns; columns of ``docs`` with those names are replaced.
     """
     train = docs if train is None else train
     model = docs.sparkSession.sparkContext.broadcast(fit(train, per_language, id, text, lang))
-    schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    out = docs.mapInArrow(labeller(model, docs.columns.index(text), switch),
-                          f"{schema}, __lang string, __score double, __spans array<struct<start:int,end:int,lang:string>>")
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}") & F.col("__lang").isNotNull(), F.lit(False))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(lettered, F.col("__lang")).otherwise("und").alias("__lang"),
-                      F.when(lettered, F.col("__score")).otherwise(0.0).alias("__score"), F.when(lettered, F.col("__spans")).otherwise(F.array()).alias("__spans"))
+    added = [prefix + name for name in ("lang", "score", "spans")]
+    docs = docs.drop(*added)
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*docs.dtypes, *zip(added, ("string", "double", "array<struct<start:int,end:int,lang:string>>"))])
+    out = docs.mapInArrow(labeller(model, docs.columns.index(text), switch, added), schema)
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}") & F.col(added[0]).isNotNull(), F.lit(False))
+    blank = F.lit("und"), F.lit(0.0), F.array()
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.when(lettered, F.col(c)).otherwise(b).alias(c) for c, b in zip(added, blank)])

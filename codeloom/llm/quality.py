@@ -116,7 +116,7 @@ def votes(model: dict, rows: np.ndarray, neighbours: int, sharpness: float) -> n
     return np.clip(np.where(rows.any(axis=1), share, model["prior"]), 0, 1)
 
 
-def scorer(model, text: int, neighbours: int, sharpness: float):
+def scorer(model, text: int, neighbours: int, sharpness: float, added: str):
     def run(batches):
         for batch in batches:
             data, offsets = texts_of(batch.column(text))
@@ -125,12 +125,12 @@ def scorer(model, text: int, neighbours: int, sharpness: float):
                 for a in range(first, last, BLOCK):
                     b = min(a + BLOCK, last)
                     scores[a:b] = votes(model.value, features(data, offsets[a: b + 1]), neighbours, sharpness)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, added])
     return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, neighbours: int = 25, sharpness: float = 12.0, id: str = "doc_id", text: str = "text",
-                  label: str = "quality", rows: int = 3000, width: int = 48) -> DataFrame:
+                  label: str = "quality", rows: int = 3000, width: int = 48, prefix: str = "__") -> DataFrame:
     """The columns of ``docs`` and ``__score``: how likely quality is 1, from 0 to 1.
 
     Every text is placed in the latent space that ``fit`` finds in a bounded sample of labelled documents, and its exact cosines with all
@@ -138,8 +138,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, neighbours: int = 25, shar
     space are broadcast; their size is bounded by ``rows`` and ``width``. Documents aren't moved.
 
     Ids of the evaluation fold are never learned from, and nothing but the text is an input of a score. Null and empty texts, and all texts if there are no
-    labels, get the share of label 1 (0.5 without labels). Repeated rows are kept.
+    labels, get the share of label 1 (0.5 without labels). Repeated rows are kept. ``prefix`` begins the name of the new column; a column of ``docs`` with that name is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows, width, id, text, label))
-    schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return docs.mapInArrow(scorer(model, docs.columns.index(text), neighbours, sharpness), f"{schema}, __score double")
+    docs = docs.drop(prefix + "score")
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*docs.dtypes, (prefix + "score", "double")])
+    return docs.mapInArrow(scorer(model, docs.columns.index(text), neighbours, sharpness, prefix + "score"), schema)

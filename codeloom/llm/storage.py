@@ -10,7 +10,15 @@ from codeloom.operators.lineage import materialize, shared_folder
 
 CHUNK = 4096   # numbers of one row of a gathered array
 
-__all__ = ["gathered_rows", "held_out", "materialize", "shared_folder", "summed"]
+__all__ = ["free_prefix", "gathered_rows", "held_out", "materialize", "shared_folder", "summed"]
+
+
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column's name begins with."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def held_out(column: str):
