@@ -7,21 +7,23 @@ from codeloom.llm.jaccard import keep_one
 from codeloom.llm.languages import identify_languages
 from codeloom.llm.quality import score_quality
 from codeloom.llm.queries import QUALITY, packed
-from codeloom.llm.storage import shared_folder
+from codeloom.llm.storage import free_prefix, shared_folder
 
 LEAST_SHARE = 0.5   # of a document's letters that must be in spans of its language
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled documents vote for. Null and empty texts get the general share and stay."""
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(F.col("__score") >= QUALITY).select(*docs.columns)
+    prefix = free_prefix(docs.columns)
+    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), prefix=prefix)
+    return scored.where(F.col(prefix + "score") >= QUALITY).select(*docs.columns)
 
 
 def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, at least half of them in one language. Null, empty and letterless texts go."""
-    found = identify_languages(docs)
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)
+    prefix = free_prefix(docs.columns)
+    found = identify_languages(docs, prefix=prefix)
+    return found.where((F.col(prefix + "lang") != "und") & (F.col(prefix + "score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
