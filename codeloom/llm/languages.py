@@ -55,6 +55,8 @@ class Spelled:
         before[begin] = after[finish] = 0
         code = ((before << np.uint32(16)) | (wide << np.uint32(8)) | after) * np.uint32(0x9E3779B1)
         self.keep, self.grams = keep, (code >> np.uint32(16)).astype(np.int32)
+        characters = np.concatenate([[0], np.cumsum(body & 0xC0 != 0x80)])
+        self.letters = characters[self.end] - characters[self.start]
         # code point of a word's first character
         padded = np.concatenate([body, np.zeros(3, np.uint8)])
         lead, b1, b2, b3 = (padded[self.start + i].astype(np.int32) for i in range(4))
@@ -171,7 +173,7 @@ def labeller(model, text: int, switch: float, added: list[str]):
                 scores = np.add.reduceat(table[spelled.grams[spelled.keep]], np.cumsum(size) - size, axis=0) - barred[spelled.script]
                 path = label_words(scores, spelled.first, switch)
                 owner = np.repeat(np.arange(last - first), np.diff(spelled.first))
-                share = np.bincount(owner * len(names) + path, size, (last - first) * len(names)).reshape(-1, len(names))
+                share = np.bincount(owner * len(names) + path, spelled.letters, (last - first) * len(names)).reshape(-1, len(names))
                 top = share.argmax(axis=1)
                 new = np.ones(len(path), bool)
                 new[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])

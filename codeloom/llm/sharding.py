@@ -100,9 +100,9 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """
     row = groups.agg(F.sum("size"), F.max("size")).first()
     high, low = int(row[0] or 0), int(row[1] or 0)
-    zones = [(0, high)]
+    zones, width = [(0, high)], high
     while high:
-        width = max(1, -(-sum(b - a for a, b in zones) // BLOCKS))
+        width = max(1, min(width // 2, -(-sum(b - a for a, b in zones) // BLOCKS)))   # finer each time
         zone, inside = F.lit(0), F.lit(False)
         for a, b in zones:
             zone += (F.col("start") >= a).cast("int") + (F.col("start") >= b).cast("int")

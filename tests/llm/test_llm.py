@@ -324,7 +324,7 @@ def test_sharding(docs, rows, none):
 
 def test_minimax_cut_is_the_smallest(spark, monkeypatch):
     from codeloom.llm import sharding
-    monkeypatch.setattr(sharding, "BLOCKS", 8)   # several rounds
+    monkeypatch.setattr(sharding, "BLOCKS", 64)   # several rounds
     rng = random.Random(6)
     for shards, most in ((4, 9), (7, 1000), (5, 1)):
         sizes = [rng.randint(1, most) for _ in range(300)] + [most * 20] + [1] * 50
