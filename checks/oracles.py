@@ -157,19 +157,20 @@ add("resolution_edges", "SELECT * FROM edge")
 
 def usages_ctes(name, where, limit, hidden):
     return f""", m AS (SELECT * FROM res WHERE {where}),
-    firstm AS (SELECT * FROM m ORDER BY path, start_byte, spelling, receiver NULLS FIRST, role, enclosing_id NULLS FIRST, target_id NULLS FIRST, start_line LIMIT {limit * 4}),
-    st AS (SELECT *, CASE WHEN regexp_matches('/' || lower(path), '/(test|tests|sample|samples|demo|benchmark|mock)/') THEN 'noise' {hidden} ELSE 'shown' END AS status,
-      CAST(row_number() OVER (ORDER BY path, start_byte, spelling, receiver NULLS FIRST, role, enclosing_id NULLS FIRST, target_id NULLS FIRST, start_line) AS INTEGER) AS seq FROM firstm),
-    ranked AS (SELECT *, sum(CASE WHEN status = 'shown' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS position FROM st),
-    used AS (SELECT * FROM ranked WHERE position <= {limit})"""
+    st AS (SELECT *, CASE WHEN regexp_matches('/' || lower(path), '/(test|tests|sample|samples|demo|benchmark|mock)/') THEN 'noise' {hidden} ELSE 'shown' END AS status FROM m),
+    used AS (SELECT *, CAST(row_number() OVER (ORDER BY path, start_byte, spelling, receiver NULLS FIRST, role, enclosing_id NULLS FIRST, target_id NULLS FIRST, start_line) AS INTEGER) AS seq
+      FROM st WHERE status = 'shown' QUALIFY seq <= {limit})"""
 
 
 add("usages_ranked", "SELECT path, start_line, spelling, role, coalesce(receiver, '-') AS receiver, status, resolution_kind, seq FROM used",
     ", ids AS (SELECT sym_id FROM sym WHERE name = 'new_bolt' AND (contains(qualified_name, 'Brand12') OR (SELECT count(*) FROM sym WHERE name = 'new_bolt' AND contains(qualified_name, 'Brand12')) = 0))"
     + usages_ctes("new_bolt", "target_id IN (SELECT sym_id FROM ids) OR (spelling = 'new_bolt' AND target_id IS NULL AND receiver ILIKE '%Brand12%')", 30, ""))
-add("usages_exact_only", "SELECT status, count(*) AS n FROM used GROUP BY status",
+add("usages_exact_only", "SELECT status, count(*) AS n FROM st GROUP BY status",
     usages_ctes("old_gear", "target_id IN (SELECT sym_id FROM sym WHERE name = 'old_gear') OR spelling = 'old_gear'", 20,
                 "WHEN coalesce(confidence, 0) < 0.9 THEN 'confidence'"))
+add("usages_hidden_counts", "SELECT status, count(*) AS n FROM st GROUP BY status",
+    usages_ctes("hot_plate", "target_id IN (SELECT sym_id FROM sym WHERE name = 'hot_plate') OR spelling = 'hot_plate'", 25,
+                "WHEN coalesce(confidence, 0) < 0.5 THEN 'confidence'"))
 add("usages_min_confidence", "SELECT path, start_line, status, confidence, seq FROM used",
     usages_ctes("hot_plate", "target_id IN (SELECT sym_id FROM sym WHERE name = 'hot_plate') OR spelling = 'hot_plate'", 25,
                 "WHEN coalesce(confidence, 0) < 0.5 THEN 'confidence'"))
@@ -241,7 +242,7 @@ def best_cte(tokens, limit, prefix=None, name="best", source="hit"):
     if len(tokens) < 3:
         return f", {name} AS (SELECT *, {POSITION} FROM (SELECT * FROM {source} ORDER BY {ORDER} LIMIT {limit}))"
     overlap = " + ".join(f"CASE WHEN contains(lower(title || ' ' || body), '{t}') THEN 1 ELSE 0 END" for t in tokens)
-    return (f", {name} AS (SELECT *, {POSITION} FROM (SELECT * FROM (SELECT * FROM {source} ORDER BY {ORDER} LIMIT {limit * 6})"
+    return (f", {name} AS (SELECT *, {POSITION} FROM (SELECT * FROM {source}"
             f" WHERE {overlap} >= {(len(tokens) + 1) // 2} ORDER BY {ORDER} LIMIT {limit}))")
 
 
@@ -260,7 +261,7 @@ def like_hits(q):
 add("text_like_fallback", like_hits(", le") + " UNION ALL " + like_hits("ch. "))
 
 
-def fused_ctes(query, tokens, fetch, limit):
+def fused_ctes(query, tokens, fetch, limit, chosen="true"):
     """CTE ``fused`` with key, item, score, rank, match_reason."""
     return (lookup_ctes([query]) + bm25(tokens) + best_cte(tokens, fetch * 2) + f"""
     , ex AS (SELECT *, row_number() OVER (ORDER BY path, start_byte, symbol_key) - 1 AS position FROM (SELECT * FROM cand ORDER BY path, start_byte, symbol_key LIMIT {fetch})),
@@ -275,7 +276,7 @@ def fused_ctes(query, tokens, fetch, limit):
     grouped AS (
       SELECT key, sum(part) AS raw, min(list * 1000000 + position) AS place, first(entity_type ORDER BY list, position) AS entity_type,
         first(entity_id ORDER BY list, position) AS entity_id, first(title ORDER BY list, position) AS title, first(path ORDER BY list, position) AS path,
-        bool_or(titled) AS titled, bool_or(list = 0) AS was_exact FROM parts GROUP BY key),
+        bool_or(titled) AS titled, bool_or(list = 0) AS was_exact FROM parts WHERE {chosen} GROUP BY key),
     fused AS (
       SELECT key, entity_type, entity_id, title, path, round_even(raw, 4) AS score,
         CAST(row_number() OVER (ORDER BY round(raw, 12) DESC, place) AS INTEGER) AS rank,
@@ -291,7 +292,7 @@ SELECT key, entity_type, score, CAST(nr AS INTEGER) AS rank, coalesce(pd, -1) AS
     fused_ctes("NATION_3", ["nation", "3"], 24, 24) + near_walk("SELECT sym_id FROM sym WHERE path = 'types/Region.java'"))
 FOUND = """SELECT entity_type, coalesce(symbol_key, '-') AS symbol_key, coalesce(title, '-') AS title, f.path, score, rank, match_reason
 FROM fused f LEFT JOIN (SELECT sym_id, symbol_key, kind, name, qualified_name FROM sym) s ON entity_type = 'symbol' AND entity_id = CAST(s.sym_id AS VARCHAR)"""
-add("rrf_kinds_filter", FOUND + " WHERE kind = 'method' OR entity_type = 'method'", fused_ctes("small_ring", ["small", "ring"], 10, 10))
+add("rrf_kinds_filter", FOUND + " WHERE kind = 'method' OR entity_type = 'method'", fused_ctes("small_ring", ["small", "ring"], 10, 10, "key IN (SELECT symbol_key FROM sym WHERE kind = 'method') OR entity_type = 'method'"))
 add("filename_augment", f"""
 , ranked AS ({FOUND}),
 named AS (SELECT * FROM (SELECT * FROM file WHERE path ILIKE '%economy_1%' ORDER BY length(path), path LIMIT 20) WHERE path NOT IN (SELECT path FROM ranked)),
@@ -316,7 +317,8 @@ listed AS (SELECT *, row_number() OVER (ORDER BY via, position, name, path, star
   FROM (SELECT 0 AS via, * FROM direct UNION ALL SELECT 1, * FROM mention) QUALIFY p < 6)
 SELECT 'documentation' AS block, position, path, heading_path AS title, '-' AS kind, start_line, body AS content FROM secs
 UNION ALL SELECT 'symbols', CAST(p AS INTEGER), path, coalesce(qualified_name, name), kind, start_line, docstring FROM listed""",
-    bm25(["erention"]) + best_cte(["erention"], 3, name="b3") + best_cte(["erention"], 5, name="b5"))
+    bm25(["erention"]) + best_cte(["erention"], 3, name="b3", source="(SELECT * FROM hit WHERE entity_type = 'doc')")
+    + best_cte(["erention"], 5, name="b5", source="(SELECT * FROM hit WHERE entity_type = 'symbol')"))
 
 # --- session: the tracker's rules, row by row
 SESSION = r"""

@@ -26,8 +26,6 @@ PROXIMITY_DEPTH = 3
 # Limits of the public operations.
 SEARCH_LIMIT, SEARCH_LIMIT_MAX = 8, 20
 USAGES_LIMIT, USAGES_LIMIT_MAX = 10, 30
-USAGES_OVERFETCH = 4
-TEXT_OVERFETCH = 6
 CALL_DEPTH_MAX = 4
 FLOW_DEPTH_MAX = 2
 STRUCTURAL_WINDOW = 150

@@ -1,5 +1,6 @@
 """Cutting lineage through tables in the cluster's shared checkpoint folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only a session without one gets a folder of its own."""
+    """Use ``spark.checkpoint.dir``. Without one, a session of a single machine gets a folder of its own; on a cluster it is an error,
+    as executors would write to their own disks."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if configured is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="codeloom-ckpt-"))
 
 

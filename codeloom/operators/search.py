@@ -92,18 +92,21 @@ def token_overlap(tokens: list[str]):
     return sum((F.when(F.contains(haystack, F.lit(t)), 1).otherwise(0) for t in tokens if t), F.lit(0))
 
 
-def search_text(documents: DataFrame, query: str, path_prefix: str | None = None, limit: int = 15) -> DataFrame:
-    """Best matches with ``bm25`` and a 0-based ``position``."""
+def search_text(documents: DataFrame, query: str, path_prefix: str | None = None, limit: int = 15,
+                entity_type: str | None = None) -> DataFrame:
+    """Best matches, of one type if asked for, with ``bm25`` and a 0-based ``position``; only the top is cut, after all filters."""
+    documents_of = documents if entity_type is None else documents.where(F.col("entity_type") == entity_type)
     tokens = query_tokens(documents.sparkSession, query)
     if not any(tokens):
-        return like_fallback(documents, query, limit)
+        return like_fallback(documents_of, query, limit)
     needed = min_matches(tokens)
     order = (F.round("bm25", 9), *TIE_ORDER)
-    best = bm25_matches(documents, tokens, path_prefix).orderBy(*order).limit(
-        limit * C.TEXT_OVERFETCH if needed > 1 else limit)
+    hits = bm25_matches(documents, tokens, path_prefix)   # scored by the figures of all documents
+    if entity_type is not None:
+        hits = hits.where(F.col("entity_type") == entity_type)
     if needed > 1:
-        best = best.where(token_overlap(tokens) >= needed).orderBy(*order).limit(limit)
-    return _positioned(best, *order)
+        hits = hits.where(token_overlap(tokens) >= needed)
+    return _positioned(hits.orderBy(*order).limit(limit), *order)
 
 
 def _positioned(best: DataFrame, *order) -> DataFrame:
@@ -125,19 +128,20 @@ def search_exact(symbols: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return _positioned(best, *order)
 
 
-def fuse(exact: DataFrame, text_hits: DataFrame, symbols: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """Weighted reciprocal-rank fusion of an exact and a text result list."""
+def fuse(exact: DataFrame, text_hits: DataFrame, symbols: DataFrame, query: str, limit: int = 8,
+         kinds=None) -> DataFrame:
+    """Weighted reciprocal-rank fusion of an exact and a text result list; ``kinds`` (of symbols or entities) are chosen before the cut."""
     left = exact.select(
         F.lit(0).alias("list"), "position", F.col("symbol_key").alias("key"),
         F.lit("symbol").alias("entity_type"), F.col("sym_id").cast("string").alias("entity_id"),
-        F.lit(None).cast("string").alias("title"), "path", F.lit(None).cast("string").alias("body"))
-    keys = symbols.select(F.col("sym_id").cast("string").alias("entity_id"), "symbol_key")
+        F.lit(None).cast("string").alias("title"), "path", F.lit(None).cast("string").alias("body"), "kind")
+    keys = symbols.select(F.col("sym_id").cast("string").alias("entity_id"), "symbol_key", "kind")
     of_symbols = attach(text_hits.where(F.col("entity_type") == "symbol"), keys, "entity_id")
-    others = text_hits.where(F.col("entity_type") != "symbol").withColumn("symbol_key", F.lit(None).cast("string"))
+    others = text_hits.where(F.col("entity_type") != "symbol").withColumns({c: F.lit(None).cast("string") for c in ("symbol_key", "kind")})
     right = of_symbols.unionByName(others).select(
         F.lit(1).alias("list"), "position",
         F.coalesce("symbol_key", F.concat("path", F.lit("::"), "title")).alias("key"),
-        "entity_type", "entity_id", "title", "path", "body")
+        "entity_type", "entity_id", "title", "path", "body", "kind")
 
     weight = (F.when(F.col("list") == 0, C.RRF_EXACT_WEIGHT)
               .when(F.col("entity_type") == "occurrence", C.RRF_OCCURRENCE_WEIGHT)
@@ -148,6 +152,8 @@ def fuse(exact: DataFrame, text_hits: DataFrame, symbols: DataFrame, query: str,
                           + F.when(in_title, C.RRF_TITLE_BONUS).otherwise(0.0))
               .withColumn("in_title", in_title)
               .withColumn("place", F.struct("list", "position")))
+    if kinds:
+        scored = scored.where(F.col("kind").isin(*kinds) | F.col("entity_type").isin(*kinds))
     item = F.min_by(F.struct("entity_type", "entity_id", "title", "path", "body"), "place")
     fused = scored.groupBy("key").agg(
         F.sum("part").alias("raw_score"), F.min("place").alias("place"), item.alias("item"),
@@ -194,7 +200,7 @@ def search(symbols: DataFrame, documents: DataFrame, edges: DataFrame, files: Da
     limit = min(limit or C.SEARCH_LIMIT, C.SEARCH_LIMIT_MAX)
     fetch = limit * 3 if context else limit
     ranked = fuse(search_exact(symbols, query, fetch),
-                  search_text(documents, query, path_prefix, fetch * 2), symbols, query, fetch)
+                  search_text(documents, query, path_prefix, fetch * 2), symbols, query, fetch, kinds)
     if context:
         ranked = rerank_by_proximity(ranked, symbols, edges, context, limit)
     else:
@@ -203,8 +209,6 @@ def search(symbols: DataFrame, documents: DataFrame, edges: DataFrame, files: Da
                            F.col("kind").alias("symbol_kind"), "signature", "start_line", "end_line")
     ranked = ranked.withColumn("_id", F.when(F.col("entity_type") == "symbol", F.col("entity_id")))
     ranked = attach(ranked, facts, "_id").drop("_id")
-    if kinds:
-        ranked = ranked.where(F.col("symbol_kind").isin(*kinds) | F.col("entity_type").isin(*kinds))
     named = paths_by_name(ranked, files, query, kinds, limit)
     columns = ["entity_type", "entity_id", "symbol_key", "name", "qualified_name", "symbol_kind", "signature",
                "start_line", "end_line", "title", "path", "body", "score", "rank", "match_reason",
@@ -238,8 +242,8 @@ def paths_by_name(ranked: DataFrame, files: DataFrame, query: str, kinds, limit:
 def feature_context(documents: DataFrame, symbols: DataFrame, docs: DataFrame, feature: str,
                     path_prefix=None) -> DataFrame:
     """Sections and symbols that describe a feature, in display order (block, position)."""
-    sections = search_text(documents, feature, path_prefix, 3).where(F.col("entity_type") == "doc")
-    direct = search_text(documents, feature, path_prefix, 5).where(F.col("entity_type") == "symbol")
+    sections = search_text(documents, feature, path_prefix, 3, "doc")
+    direct = search_text(documents, feature, path_prefix, 5, "symbol")
     keyed = attach(direct.select("entity_id", "position"),
                    symbols.withColumn("entity_id", F.col("sym_id").cast("string")), "entity_id").drop("entity_id")
     mentioned = lookup.doc_mentions(sections.select(F.col("body").alias("content")), symbols, keyed)

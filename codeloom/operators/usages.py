@@ -42,35 +42,34 @@ def attach(small: DataFrame, big: DataFrame, key: str) -> DataFrame:
     return small.join(big.join(keys, key, "left_semi"), key, "left")
 
 
-def rank_usages(matches: DataFrame, limit: int = C.USAGES_LIMIT, include_probable: bool = True,
-                min_confidence: float | None = None) -> DataFrame:
-    """The first matches in path order with the reason each one is shown or hidden.
-
-    ``status`` is shown, noise or confidence; rows after the last shown one are dropped.
-    """
-    limit = min(limit or C.USAGES_LIMIT, C.USAGES_LIMIT_MAX)
-    window = matches.orderBy(*ORDER).limit(limit * C.USAGES_OVERFETCH)
+def with_status(matches: DataFrame, include_probable: bool = True, min_confidence: float | None = None) -> DataFrame:
+    """All matches with ``status``: shown, or the reason to hide them, noise or confidence."""
     confidence = F.coalesce("confidence", F.lit(0.0))
     hidden = F.when(paths.is_noise_path("path"), "noise")
     if min_confidence is not None:
         hidden = hidden.when(confidence < min_confidence, "confidence")
     elif not include_probable:
         hidden = hidden.when(confidence < C.EXACT_CONFIDENCE, "confidence")
-    order = Window.orderBy(*ORDER)   # at most limit * USAGES_OVERFETCH rows
-    shown = F.sum(F.when(F.col("status") == "shown", 1).otherwise(0)).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return bounded(
-        window.withColumn("status", F.coalesce(hidden, F.lit("shown")))
-        .withColumn("position", shown)
-        .withColumn("seq", F.row_number().over(order))
-        .where(F.col("position") <= limit))
+    return matches.withColumn("status", F.coalesce(hidden, F.lit("shown")))
+
+
+def rank_usages(matches: DataFrame, limit: int = C.USAGES_LIMIT, include_probable: bool = True,
+                min_confidence: float | None = None) -> DataFrame:
+    """The first ``limit`` matches in path order of those that nothing hides, numbered by ``seq``."""
+    shown = with_status(matches, include_probable, min_confidence).where(F.col("status") == "shown")
+    return bounded(shown.orderBy(*ORDER).limit(limit).withColumn("seq", F.row_number().over(Window.orderBy(*ORDER))))
+
+
+def count_by_status(matches: DataFrame, include_probable: bool = True, min_confidence: float | None = None) -> DataFrame:
+    """How many of all matches are shown or hidden for each reason, in one aggregate."""
+    return with_status(matches, include_probable, min_confidence).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def describe_usages(ranked: DataFrame, symbols: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Shown usages with their enclosing symbol, class and, given sources, a code snippet."""
     enclosing = symbols.select(F.col("sym_id").alias("enclosing_id"), F.col("name").alias("enclosing_symbol"),
                                F.col("kind").alias("enclosing_kind"))
-    rows = attach(ranked.where(F.col("status") == "shown"), enclosing, "enclosing_id")
+    rows = attach(ranked, enclosing, "enclosing_id")
     if sources is not None:
         rows = attach(rows, sources.select("path", F.col("text").alias("_text")), "path").withColumn(
             "snippet", text.code_snippet(text.split_lines("_text"), F.col("start_line")))

@@ -248,10 +248,13 @@ def resolution_edges(c):
 
 # --- usages ---------------------------------------------------------------------------------
 
-def _usages(c, symbol, **options):
-    found = usages.usage_candidates(c.symbols, symbol, options.pop("kind", None), options.get("class_context"))
-    hits = usages.matching_occurrences(c.resolved, found, symbol, options.pop("class_context", None))
-    return usages.rank_usages(hits, **options)
+def _matches(c, symbol, kind=None, class_context=None):
+    found = usages.usage_candidates(c.symbols, symbol, kind, class_context)
+    return usages.matching_occurrences(c.resolved, found, symbol, class_context)
+
+
+def _usages(c, symbol, kind=None, class_context=None, **options):
+    return usages.rank_usages(_matches(c, symbol, kind, class_context), **options)
 
 
 @query
@@ -263,8 +266,12 @@ def usages_ranked(c):
 
 @query
 def usages_exact_only(c):
-    r = _usages(c, "old_gear", limit=20, include_probable=False)
-    return r.groupBy("status").agg(F.count("*").alias("n"))
+    return usages.count_by_status(_matches(c, "old_gear"), include_probable=False)
+
+
+@query
+def usages_hidden_counts(c):
+    return usages.count_by_status(_matches(c, "hot_plate"), min_confidence=0.5)
 
 
 @query

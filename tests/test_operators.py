@@ -176,3 +176,37 @@ def test_min_match_and_fallback(spark):
     assert {r["entity_id"] for r in search.search_text(frame, "alpha beta gamma", limit=5).collect()} == {"0", "2"}
     assert [r["entity_id"] for r in search.search_text(frame, "---").collect()] == []
     assert usages.split_owner("a.b.c") == ("a.b", "c") and usages.split_owner("c", "K") == ("K", "c")
+
+
+def test_noise_before_the_first_real_usage_hides_nothing_else(spark):
+    from codeloom.operators import usages
+    rows = [(f"tests/a{i:03d}.py", i, "f", None, "call", None, None, i, 0.95, "exact") for i in range(300)] + [("z/real.py", 1, "f", None, "call", None, None, 1, 0.5, "probable")]
+    matches = spark.createDataFrame(rows, "path string, start_byte int, spelling string, receiver string, role string, enclosing_id string, target_id string, start_line int, confidence double, resolution_kind string")
+    assert [r.path for r in usages.rank_usages(matches, 5).collect()] == ["z/real.py"]
+    assert dict(usages.count_by_status(matches).collect()) == {"noise": 300, "shown": 1}
+    assert dict(usages.count_by_status(matches, include_probable=False).collect()) == {"noise": 300, "confidence": 1}
+
+
+def test_a_low_ranked_document_with_enough_words_is_found(spark):
+    from codeloom.operators import search
+    short = [("doc", str(i), "alpha", f"p{i:04d}", "alpha alpha") for i in range(400)]
+    rows = [*short, ("doc", "long", "x", "q", "alpha beta gamma " + "other " * 3000)]
+    documents = spark.createDataFrame(rows, "entity_type string, entity_id string, title string, path string, body string")
+    found = search.search_text(search.index_words(documents), "alpha beta gamma", limit=5).collect()
+    assert [r.entity_id for r in found] == ["long"]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from codeloom.operators.lineage import ensure_checkpoint_dir
+    for master, fails in (("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("yarn", True), ("local[4]", False), ("local", False)):
+        made = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append, getConf=lambda: SimpleNamespace(get=lambda key: None))
+        session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+        if fails:
+            with pytest.raises(ValueError):
+                ensure_checkpoint_dir(session)
+        else:
+            ensure_checkpoint_dir(session)
+        assert bool(made) != fails
