@@ -61,30 +61,45 @@ def graph_proximity(edges: DataFrame, seeds: DataFrame, max_depth: int = C.PROXI
 
 
 def subtypes(edges: DataFrame, seeds: DataFrame, transitive: bool = True) -> DataFrame:
-    """(node, depth) of implementing and extending symbols, a symbol once per depth.
+    """(node, depth) of implementing and extending symbols: each symbol once per length of a path to it, symbols on or below a
+    cycle, which have paths of any length, with the shortest only.
 
-    Levels follow each other deterministically, so a level equal to an earlier one means a
-    cycle that would repeat for ever: the walk ends there. Without cycles that never happens
-    and the walk ends on its empty level, however deep.
+    What is reached is walked with a visited set. Then edges from symbols that nothing points to are taken away, again and again: the targets
+    of what is left are on or below a cycle. The others form no cycle, and are walked level by level. Each of the three ends after
+    at most as many rounds as there are symbols.
     """
     adjacency = _adjacency(edges, TYPE_KINDS, "target_id", "source_id")
     start = seeds.toDF("_from").distinct()
     if not transitive:
         return adjacency.join(start, "_from").select(F.col("_to").alias("node"), F.lit(1).alias("depth")).distinct()
-    adjacency, frontier = materialize(adjacency), start
-    levels, seen, depth = [], set(), 0
-    while True:
-        depth += 1
-        level = materialize(adjacency.join(frontier, "_from").select(F.col("_to").alias("node")).distinct())
-        mark = level.agg(F.count("*"), F.bit_xor(F.xxhash64("node")), F.sum(F.hash("node").cast("long"))).first()
-        if mark[0] == 0 or tuple(mark) in seen:
+    adjacency = materialize(adjacency)
+
+    def levels(pairs, visited):
+        found, frontier, depth = [], start, 0
+        while True:
+            depth += 1
+            level = pairs.join(frontier, "_from").select(F.col("_to").alias("node")).distinct()
+            for known in found if visited else ():
+                level = level.join(known.select("node"), "node", "left_anti")
+            level = materialize(level.withColumn("depth", F.lit(depth)))
+            if level.isEmpty():
+                return functools.reduce(DataFrame.unionByName, found) if found else level
+            found.append(level)
+            frontier = level.select(F.col("node").alias("_from"))
+
+    reached = levels(adjacency, True)
+    inside = materialize(adjacency.join(start.union(reached.select("node")).distinct(), "_from"))
+    left, size = inside, inside.count()
+    while size:
+        left = materialize(left.join(left.select(F.col("_to").alias("_from")).distinct(), "_from", "left_semi"))
+        before, size = size, left.count()
+        if size == before:
             break
-        seen.add(tuple(mark))
-        levels.append(level.select("node", F.lit(depth).alias("depth")))
-        frontier = level.select(F.col("node").alias("_from"))
-    if not levels:
-        return adjacency.where(F.lit(False)).select(F.col("_to").alias("node"), F.lit(1).alias("depth"))
-    return functools.reduce(DataFrame.unionByName, levels)
+    if not size:
+        return levels(inside, False)
+    cyclic = left.select(F.col("_to").alias("node")).distinct()
+    free = materialize(inside.join(cyclic, inside["_to"] == cyclic["node"], "left_anti"))
+    return levels(free, False).unionByName(reached.join(cyclic, "node", "left_semi"))
 
 
 def describe_nodes(walk: DataFrame, symbols: DataFrame, *extra: str) -> DataFrame:

@@ -115,7 +115,10 @@ def resolve_occurrences(occurrences: DataFrame, symbols: DataFrame, direct=DIREC
 
     joined = salted_left_join(occurrences, overall, "spelling")
     joined = joined.join(in_file, ["path", "spelling"], "left")
-    joined = joined.join(by_receiver, ["spelling", "receiver"], "left")
+    # one key of both, null without a receiver: those rows match nothing and must not meet in one partition
+    joined = joined.withColumn("_pair", F.when(has_receiver, F.struct("spelling", "receiver")))
+    by_receiver = by_receiver.select(F.struct("spelling", "receiver").alias("_pair"), "recv_n", "recv_sym")
+    joined = salted_left_join(joined, by_receiver, "_pair")
 
     same_file = F.col("file_n") == 1
     receiver = has_receiver & (F.col("recv_n") == 1)

@@ -17,16 +17,17 @@ def hot_keys(df: DataFrame, key: str, floor: int) -> DataFrame:
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, floor: int = 1_000_000) -> DataFrame:
     """Left join on ``key`` against a right side with one row per key.
 
-    One counting pass over the key column looks for hot keys; without any this is a plain join.
+    One counting pass over the key column looks for hot keys; without any only null keys are spread.
     Rows of a hot key spread over ``SALTS`` partitions and their one right-hand row is repeated
-    for each salt; all other keys keep salt 0.
+    for each salt; rows with a null key, which match nothing, spread as well; all other keys keep salt 0.
     """
     hot = hot_keys(left, key, floor)
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))
     if hot.isEmpty():
-        return left.join(right, key, "left")
+        lhs = left.withColumn("_salt", F.when(F.col(key).isNull(), salt).otherwise(0).cast("int"))
+        return lhs.join(right.withColumn("_salt", F.lit(0)), [key, "_salt"], "left").drop("_salt")
     hot = F.broadcast(hot)   # at most 1 / HOT_SHARE rows
-    spread = (F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
-              .otherwise(0).cast("int"))
+    spread = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), salt).otherwise(0).cast("int")
     lhs = (left.join(hot, F.col(key) == F.col("_hot"), "left")
            .withColumn("_salt", spread).drop("_hot"))
     salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(

@@ -210,3 +210,17 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         else:
             ensure_checkpoint_dir(session)
         assert bool(made) != fails
+
+
+def test_subtypes_of_cycles_of_several_lengths(spark):
+    edges, first = [], 1
+    for length in (3, 4, 5):
+        ring = list(range(first, first + length))
+        edges += [(0, ring[0])] + list(zip(ring, ring[1:] + ring[:1]))
+        first += length
+    edges += [(0, 100), (100, 101), (0, 101), (5, 200)]   # a diamond apart from the cycles, and a node below one
+    rows = [(f"n{b}", f"n{a}", "extends") for a, b in edges]
+    walk = graph.subtypes(spark.createDataFrame(rows, "source_id string, target_id string, kind string"), spark.createDataFrame([("n0",)], "id string"))
+    want = {("n100", 1), ("n101", 1), ("n101", 2), ("n200", 3)}
+    want |= {(f"n{base + i}", i + 1) for base, length in ((1, 3), (4, 4), (8, 5)) for i in range(length)}
+    assert sorted(map(tuple, walk.collect())) == sorted(want)
