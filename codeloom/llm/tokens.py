@@ -18,6 +18,7 @@ from codeloom.llm.words import slices, texts_of
 BATCH_BYTES = 32 << 20   # texts of which the distinct words are taken together
 RANGE_BYTES = 4 << 20    # texts whose ids are put together at once
 JOINED = 200             # words of one string
+CALL = 64                # strings of one call
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 # letters that all Unicode versions have, then ASCII punctuation but the apostrophe, which may start a contraction
@@ -48,8 +49,12 @@ class Encoder:
             spaced[i] = token.startswith("\u0120")   # a leading space in byte-level vocabularies
         self.spaced = spaced
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """A few texts at a time, as the library's results are many times larger than their ids."""
+        found = []
+        for i in range(0, len(texts), CALL):
+            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i: i + CALL], add_special_tokens=False)]
+        return found
 
     def encode(self, column: pa.Array):
         """For ranges of rows: (first row, ids of all, offsets into them), in order."""
@@ -66,6 +71,7 @@ class Encoder:
                 if odd[a:b].any():
                     ids, ends = self._merged(part.slice(a, b - a), odd[a:b], ids, ends)
                 yield first + a, ids, ends
+            pa.default_memory_pool().release_unused()
 
     def _odd(self, column: pa.Array) -> np.ndarray:
         if not self.by_word:
@@ -79,7 +85,7 @@ class Encoder:
         """Ids of the other rows are given; those of odd rows are made from the whole texts and put between them."""
         lengths, rows = np.zeros(len(odd), np.int64), np.flatnonzero(odd)
         lengths[~odd] = np.diff(offsets)
-        found = [np.array(x, np.uint32) for x in self.ids(column.take(pa.array(rows)).to_pylist())]
+        found = self.ids(column.take(pa.array(rows)).to_pylist())
         lengths[rows] = [len(x) for x in found]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = np.empty(ends[-1], np.uint32)
@@ -106,7 +112,7 @@ class Encoder:
         code = (np.cumsum(inner, dtype=np.int32) - 1)[code]
         code[leads] = inner.sum() + own
         flat, size = self._spaced(words.filter(pa.array(inner)))
-        lead = [np.array(found, np.uint32) for found in self.ids(words.take(pa.array(starts)).to_pylist())]
+        lead = self.ids(words.take(pa.array(starts)).to_pylist())
         return np.concatenate([flat, *lead]), np.concatenate([size, [len(x) for x in lead]]).astype(np.int64), code, rows
 
     def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +123,7 @@ class Encoder:
         stems = pc.if_else(plain, words, pc.struct_field(parts, "stem")).dictionary_encode()
         tails = pc.if_else(plain, pa.scalar("", words.type), pc.struct_field(parts, "tail")).dictionary_encode()
         flat, size = self._distinct(stems.dictionary)
-        ends = [np.array(x, np.uint32) for x in self.ids(tails.dictionary.to_pylist())]
+        ends = self.ids(tails.dictionary.to_pylist())
         flat, size = np.concatenate([flat, *ends]), np.concatenate([size, [len(x) for x in ends]]).astype(np.int64)
         code = np.empty(2 * len(words), np.int64)
         code[::2], code[1::2] = stems.indices.to_numpy(), tails.indices.to_numpy() + len(stems.dictionary)
@@ -128,7 +134,7 @@ class Encoder:
         """Ids of words after a space, by strings of many; a word begins with the token that holds its space."""
         bounds = np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words.cast(pa.string())), " ").to_pylist() if len(words) else []
-        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in self.ids([" " + text for text in joined]))])
+        flat = np.concatenate([np.zeros(0, np.uint32), *self.ids([" " + text for text in joined])])
         begins = np.flatnonzero(self.spaced[flat])
         if len(begins) != len(words):
             raise ValueError("a word has no token of its own")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeloom.llm.storage import shared_folder
 from codeloom.llm.tokens import Encoder
 
-SHARD_TOKENS = 1 << 22   # a shard ends with the document that reaches this
+SHARD_TOKENS = 1 << 21   # a shard ends with the document that reaches this
 BLOCK = 512              # bits between stored ranks
 MAGIC = b"WVMX0002"
 HEADER = "<8sQQI"   # magic, tokens, documents, planes
