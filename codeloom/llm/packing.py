@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.tokens import Encoder
+from codeloom.llm.tokens import encoder_of
 
 POOL = 4096        # documents that a task packs together
 STEP = 32          # sequences of a step group
@@ -119,7 +119,7 @@ def step_groups(sequences: list[tuple[int, list]], size: int) -> list[int]:
 
 def packer(content, longest: int, tiers: list[int], end_id: int):
     def run(batches):
-        encoder = Encoder(content.value)
+        encoder = encoder_of(content)
         part = TaskContext.get().partitionId() << 40
         sequences = steps = 0
         tokens, names, left = {}, {}, []   # of documents with ids that are not in a sequence yet

@@ -4,12 +4,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.tokens import Encoder, version_of
+from codeloom.llm.tokens import encoder_of, version_of
 
 
 def counter(content):
     def run(batches):
-        encoder = Encoder(content.value)
+        encoder = encoder_of(content)
         for batch in batches:
             counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(ends) for _, _, ends in encoder.encode(batch.column(1)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["digest", "n_tokens"])

@@ -31,6 +31,14 @@ def version_of(content: str) -> str:
     return hashlib.sha256(content.encode()).hexdigest()
 
 
+def encoder_of(content) -> "Encoder":
+    """The tokenizer of a broadcast file content, made once in a worker process and kept with the broadcast: tasks that each make
+    their own leave memory behind."""
+    if getattr(content, "encoder", None) is None:
+        content.encoder = Encoder(content.value)
+    return content.encoder
+
+
 class Encoder:
     """A tokenizer made from the content of its file. ``special`` tells what strings of special tokens in a text are: the library's
     default, or (``False``) ordinary text."""

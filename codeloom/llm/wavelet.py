@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm.storage import shared_folder
-from codeloom.llm.tokens import Encoder
+from codeloom.llm.tokens import encoder_of
 
 SHARD_TOKENS = 1 << 21   # a shard ends with the document that reaches this
 BLOCK = 512              # bits between stored ranks
@@ -140,7 +140,7 @@ def from_bytes(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.n
 
 def writer(content, end_id: int, shard_tokens: int):
     def run(batches):
-        encoder = Encoder(content.value)
+        encoder = encoder_of(content)
         part, number, before, parts, held = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def shard():
