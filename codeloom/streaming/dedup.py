@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from codeloom.session_log import asked, written
+
 REQUEST = ("session_id string, seq long, turn int, symbol_key string, symbol_name string, path string, "
            "start_line int, end_line int, force boolean")
 OUTPUT = "session_id string, seq long, is_deduplicated boolean, source_turn int, source_name string, source_start int, source_end int"
@@ -26,19 +28,16 @@ class Tracker(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(["turn", "seq"], kind="stable")
         out = []
         for r in frame.itertuples(index=False):
-            by_key, by_range = (f"k:{r.symbol_key}",), (f"r:{r.path}:{r.start_line}:{r.end_line}",)
-            found = None
-            if r.symbol_key and self.spans.containsKey(by_key):
-                found = self.spans.getValue(by_key)
-            elif r.path and self.spans.containsKey(by_range):
-                found = self.spans.getValue(by_range)
+            place = r.path, r.start_line, r.end_line
+            known = ((slot,) for slot in asked(r.symbol_key, *place))
+            found = next((self.spans.getValue(slot) for slot in known if self.spans.containsKey(slot)), None)
             if found is not None and not r.force and found[0] < r.turn:
                 out.append((key[0], r.seq, True, found[0], found[1], found[2], found[3]))
                 continue
             out.append((key[0], r.seq, False, None, None, None, None))
             span = (int(r.turn), r.symbol_name, int(r.start_line), int(r.end_line))
-            for slot in {by_key, by_range} | ({(f"k:{r.symbol_name}",)} if r.symbol_name else set()):
-                self.spans.updateValue(slot, span)
+            for slot in written(r.symbol_key, r.symbol_name, *place):
+                self.spans.updateValue((slot,), span)
         columns = [c.split()[0] for c in OUTPUT.split(", ")]
         result = pd.DataFrame(out, columns=columns)
         for c in ("source_turn", "source_start", "source_end"):
