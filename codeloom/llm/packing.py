@@ -44,7 +44,7 @@ def split(piece: tuple, length: int) -> tuple[tuple, tuple]:
 
 
 def pack(pieces: list[tuple], tiers: list[int]) -> tuple[list, list]:
-    """Full sequences as (tier, pieces), and what is left over, less than one of the longest; pieces are (document, start, length).
+    """Full sequences of the longest tier as (tier, pieces), and what is left over, less than one of them; pieces are (document, start, length).
 
     Whole windows of the longest tier are cut off first. What remains of a document is routed to the shortest tier that holds it. The tiers are
     packed from the longest down: each remaining piece of the tier opens a window of that length, gaps are filled with the longest
@@ -86,6 +86,64 @@ def pack(pieces: list[tuple], tiers: list[int]) -> tuple[list, list]:
     return full, window
 
 
+def pack_tiers(pieces: list[tuple], tiers: list[int]) -> tuple[list, list]:
+    """Full sequences of all tiers as (tier, pieces), and what is left over, less than one of the longest; pieces are (document, start, length).
+
+    Whole windows of the longest tier are cut off first. What remains of a document is routed to the shortest tier that holds it, and each tier is
+    packed into windows of its own length, from the longest down: its longest piece opens a window, and the gap is filled with the longest pieces of the
+    shorter tiers that fit, then of its own. Only when every piece has its window are gaps closed by cutting, in each tier by itself: its emptiest windows are
+    taken apart, and their pieces go where they fit whole, or else the shortest one is cut. The last pieces of all tiers, less than a window of each, are joined by ``pack``.
+    """
+    longest = tiers[0]
+    full, rest = [], []
+    shelves = {tier: Shelf(tier) for tier in tiers}
+    for piece in pieces:
+        while piece[2] >= longest:
+            head, piece = split(piece, longest)
+            full.append((longest, [head]))
+        if piece[2]:
+            shelves[min(t for t in tiers if t >= piece[2])].put(piece)
+    open_windows = {tier: [] for tier in tiers}   # (room, pieces)
+    for i, tier in enumerate(tiers):
+        while (piece := shelves[tier].take(tier)) is not None:
+            window, room = [piece], tier - piece[2]
+            while room and (more := next((x for t in [*tiers[i + 1:], tier] if (x := shelves[t].take(min(room, t))) is not None), None)) is not None:
+                window.append(more)
+                room -= more[2]
+            if room:
+                open_windows[tier].append((room, window))
+            else:
+                full.append((tier, window))
+    for tier in tiers:
+        waiting = sorted(open_windows[tier], key=lambda x: x[0])   # the fullest first
+        loose, first, last = Shelf(tier), 0, len(waiting)
+        while first < last:
+            room, window = waiting[first]
+            first += 1
+            while room:
+                piece = loose.take(room)
+                if piece is None and (piece := loose.take_shortest()) is None:
+                    if first == last:
+                        break
+                    last -= 1
+                    for x in waiting[last][1]:
+                        loose.put(x)
+                    continue
+                if piece[2] > room:
+                    piece, tail = split(piece, room)
+                    loose.put(tail)
+                window.append(piece)
+                room -= piece[2]
+            if room:
+                rest += window
+            else:
+                full.append((tier, window))
+        while (piece := loose.take(tier)) is not None:
+            rest.append(piece)
+    more, left = pack(rest, tiers)
+    return full + more, left
+
+
 def powers(pieces: list[tuple]) -> list[tuple[int, list]]:
     """Cut into sequences whose lengths are powers of two, the largest first: none needs padding."""
     total, out = sum(p[2] for p in pieces), []
@@ -106,14 +164,18 @@ def powers(pieces: list[tuple]) -> list[tuple[int, list]]:
 
 
 def step_groups(sequences: list[tuple[int, list]], size: int) -> list[int]:
-    """A group for each sequence. Work is the sum of the squared lengths of a sequence's pieces; sequences are dealt out by falling work,
-    there and back again, so the groups of a pool have nearly equal work and equal numbers of sequences."""
+    """A group for each sequence. Work is the sum of the squared lengths of a sequence's pieces; sequences are dealt out tier by tier and by falling work,
+    one to each group in a turn and the most work to the group that has least, so the groups of a pool have nearly equal work, equal numbers of sequences and
+    equal shares of all tiers."""
     groups = -(-len(sequences) // size)
-    order = sorted(range(len(sequences)), key=lambda i: -sum(p[2] ** 2 for p in sequences[i][1]))
-    out = [0] * len(sequences)
-    for place, i in enumerate(order):
-        turn, at = divmod(place, groups)
-        out[i] = at if turn % 2 == 0 else groups - 1 - at
+    work = [sum(p[2] ** 2 for p in s[1]) for s in sequences]
+    order = sorted(range(len(sequences)), key=lambda i: (-sequences[i][0], -work[i]))
+    out, held = [0] * len(sequences), [0] * groups
+    for a in range(0, len(order), max(1, groups)):
+        turn = sorted(order[a: a + groups], key=lambda i: -work[i])
+        for i, group in zip(turn, sorted(range(groups), key=lambda g: held[g])):
+            out[i] = group
+            held[group] += work[i]
     return out
 
 
@@ -153,7 +215,7 @@ def packer(content, longest: int, tiers: list[int], end_id: int):
                         names[serial] = ids[first + row]
                         pool.append((serial, 0, len(tokens[serial])))
                         serial += 1
-                    full, left = pack([*left, *pool], tiers)
+                    full, left = pack_tiers([*left, *pool], tiers)
                     if full:
                         yield rows(full)
                     keep = {p[0] for p in left}
@@ -167,7 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 1024, shorter
     """One row per piece of a document in a sequence: ``doc_id``, ``start`` (its document's ids before it), ``length``, ``ids`` (little-endian
     unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence, ``tier`` (the sequence's length) and ``step_group``.
 
-    A document is its ids and ``end_id``; ``longest`` and the ``shorter`` tiers are powers of two. All sequences of a task are full windows of ``longest`` ids but the
+    A document is its ids and ``end_id``; ``longest`` and the ``shorter`` tiers are powers of two. All sequences of a task are full windows of their tier but the
     last ids, which are cut into sequences of powers of two: nothing is padded. Tasks pack what they read and move nothing; a task holds one pool
     of documents, and a repeated task gives the same sequences under the same ids (the task's number and a running number).
 

@@ -18,7 +18,7 @@ from codeloom.llm.embeddings import near_duplicates
 from codeloom.llm.jaccard import Trie, jaccard_components, keep_one
 from codeloom.llm.languages import identify_languages, label_words, viterbi
 from codeloom.llm.oracles import SQL
-from codeloom.llm.packing import pack, pack_documents, powers
+from codeloom.llm.packing import pack, pack_documents, pack_tiers, powers, step_groups
 from codeloom.llm.quality import score_quality
 from codeloom.llm.queries import QUERIES, tokenizer
 from codeloom.llm.sharding import minimax_cuts, shard_documents
@@ -276,6 +276,30 @@ def test_pack_uses_every_id_once():
         assert own[0][1] == 0 and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:])) and own[-1][1] + own[-1][2] == n
 
 
+def test_pack_gives_each_tier_windows_of_its_own():
+    rng, tiers = random.Random(9), [1024, 512, 256, 128]
+    for most in (60, 300, 600, 3000):
+        lengths = [rng.randint(1, most) for _ in range(2000)]
+        full, left = pack_tiers([(i, 0, n) for i, n in enumerate(lengths)], tiers)
+        assert all(sum(p[2] for p in s) == tier for tier, s in full) and sum(p[2] for p in left) < 1024
+        seen = sorted(p for _, s in [*full, *powers(left)] for p in s)
+        for i, n in enumerate(lengths):
+            own = [p for p in seen if p[0] == i]
+            assert own[0][1] == 0 and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:])) and own[-1][1] + own[-1][2] == n
+        work, tier_of = [sum(p[2] ** 2 for p in s) for _, s in full], [tier for tier, _ in full]
+        groups = step_groups(full, 32)
+        held = [sum(w for w, g in zip(work, groups) if g == k) for k in range(max(groups) + 1)]
+        assert max(held) - min(held) <= max(work)
+        for tier in tiers:
+            n = [sum(t == tier and g == k for t, g in zip(tier_of, groups)) for k in range(len(held))]
+            assert max(n) - min(n) <= 2
+    lengths = [700] * 50 + [400] * 50 + [324] * 50 + [200] * 50 + [112] * 50 + [100] * 50 + [56] * 50
+    full, left = pack_tiers([(i, 0, n) for i, n in enumerate(lengths)], tiers)
+    assert {tier for tier, _ in full} == set(tiers) and sum(p[2] for p in left) < 1024
+    whole = [(tier, sorted(p[2] for p in s)) for tier, s in full if tier > 128]   # gaps are filled by whole pieces
+    assert sorted(whole) == [(256, [56, 200])] * 50 + [(512, [112, 400])] * 50 + [(1024, [324, 700])] * 50
+
+
 def test_urls(spark):
     rules = [("block", "bad.org", "/"), ("allow", "ok.bad.org", "/en/"), ("block", "mid.com", "/x")]
     link = '<html><link href="{0}" rel=canonical></html>'
