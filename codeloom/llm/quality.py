@@ -5,9 +5,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm.storage import held_out
-from codeloom.llm.words import slices, texts_of
+from codeloom.llm.words import Powers, Words, alphanumeric, lowered, slices, texts_of
 
-FEATURES = 4096
+TERMS, LETTERS, SHAPES = 4096, 2048, 2048   # hashed words and pairs of words; runs of letters; shapes
+FEATURES = TERMS + LETTERS + SHAPES
 BLOCK = 256   # documents of one matrix product
 
 
@@ -20,42 +21,61 @@ def classes() -> np.ndarray:
     return table
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text of a slice, square roots of the shares of its hashed shapes: pairs and runs of four of shape bytes, and of its words that repeat the
-    word before, or begin like it. All bytes of a text count. An empty text is zero."""
-    table, rows = classes(), len(offsets) - 1
+def runs(codes: np.ndarray, left: np.ndarray, row: np.ndarray, rows: int, width: int, factor: int, size: int) -> np.ndarray:
+    """Counts of hashed runs of ``width`` bytes within each text."""
+    n = len(row)
+    code = np.zeros(n, np.uint32)
+    for i in range(width):
+        code = code * np.uint32(257) + codes[i: n + i]
+    code = (code * np.uint32(factor)) >> np.uint32(33 - size.bit_length())
+    good = left >= width
+    return np.bincount(row[good] * size + code[good], minlength=rows * size).reshape(rows, size)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> np.ndarray:
+    """For each text of a slice three parts, each of square roots of shares: its hashed words and pairs of words; runs of three bytes in lower case; and shapes, which are pairs and runs
+    of four of shape bytes, and words that repeat the word before, or are like it. All bytes of a text count. An empty text is zero."""
+    rows = len(offsets) - 1
     body, base = data[offsets[0]: offsets[-1]], offsets - offsets[0]
-    shape = np.concatenate([table[body], np.zeros(4, np.uint8)]).astype(np.uint32)
     n = len(body)
     row = np.repeat(np.arange(rows), np.diff(base))
-    out = np.zeros((rows, FEATURES), np.float32)
     left = np.repeat(base[1:], np.diff(base)) - np.arange(n)
-    for width, factor in ((2, 0x9E3779B1), (4, 0x85EBCA77)):
-        code = np.zeros(n, np.uint32)
-        for i in range(width):
-            code = code * np.uint32(31) + shape[i: n + i]
-        code = (code * np.uint32(factor)) >> np.uint32(21)   # 11 bits: half of the features each
-        good = left >= width
-        at = row[good] * FEATURES + code[good] + (width > 2) * (FEATURES // 2)
-        out += np.bincount(at, minlength=rows * FEATURES).reshape(rows, FEATURES).astype(np.float32)
+    words = Words(data, offsets, alphanumeric(), powers)
+    terms = np.zeros((rows, TERMS), np.int64)
+    for size in (1, 2):
+        grams, at = words.grams(size)
+        owner = np.searchsorted(words.first, at, "right") - 1
+        terms += np.bincount(owner * TERMS + (grams % np.uint64(TERMS)).astype(np.int64), minlength=rows * TERMS).reshape(rows, TERMS)
+    tail = np.zeros(4, np.uint8)
+    letters = runs(np.concatenate([lowered()[body], tail]).astype(np.uint32), left, row, rows, 3, 0xC2B2AE35, LETTERS)
+    shape = np.concatenate([classes()[body], tail]).astype(np.uint32)
+    shapes = np.concatenate([runs(shape, left, row, rows, width, factor, SHAPES // 2) for width, factor in ((2, 0x9E3779B1), (4, 0x85EBCA77))], axis=1)
     # a word like the word before it: of equal length and equal sum of squared bytes
     space = np.concatenate([[True], (body == 32) | (body == 10), [True]])
     starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
     squares = np.concatenate([[0], np.cumsum(body.astype(np.int64) ** 2)])
     weight, owner = squares[ends] - squares[starts], np.searchsorted(base, starts, "right") - 1
     same = (weight[1:] == weight[:-1]) & (np.diff(ends) == np.diff(starts)) & (owner[1:] == owner[:-1])
-    out[:, 0] += 4 * np.bincount(owner[1:][same], minlength=rows)
-    total = out.sum(axis=1, keepdims=True)
-    return np.sqrt(out / np.maximum(total, 1))
+    shapes[:, 0] += 4 * np.bincount(owner[1:][same], minlength=rows)
+    return np.concatenate([np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)).astype(np.float32) for x in (terms, letters, shapes)], axis=1)
+
+
+def weighted(rows: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Features times their rarity, each of the three parts brought to length one, so that shapes are a third."""
+    rows = rows * rarity
+    for part in np.split(rows, [TERMS, TERMS + LETTERS], axis=1):
+        part[:] = units(part)
+    return rows
 
 
 def feature_rows(batches):
+    powers = Powers()
     for batch in batches:
         data, offsets = texts_of(batch.column(1))
         for first, last in slices(offsets):
             for a in range(first, last, BLOCK):
                 b = min(a + BLOCK, last)
-                rows = features(data, offsets[a: b + 1])
+                rows = features(data, offsets[a: b + 1], powers)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "features"])
 
 
@@ -69,7 +89,7 @@ def sample_of(labels: DataFrame, rows: int, id: str, label: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, width: int = 48, id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
-    """A space and the labelled vectors in it: ``mean``, ``basis`` (features x width), ``vectors`` (unit rows), ``labels``, ``weights`` of the labels (their shares in
+    """A space and the labelled vectors in it: ``rarity`` (of each feature, the log of the inverse share of labelled texts that have it), ``mean``, ``basis`` (features x width), ``vectors`` (unit rows), ``labels``, ``weights`` of the labels (their shares in
     training over those in the sample), ``prior``.
 
     Fitted on a sample of at most ``rows`` labelled documents of the training fold; the driver gets ``rows * FEATURES`` numbers. Shares of labels are counted over all labels
@@ -82,13 +102,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, width: int = 48, i
     marks = table.column("label").to_numpy()
     prior = shares.get(1, 0) / max(1, sum(shares.values())) if shares else 0.5
     if not len(marks):
-        return {"mean": np.zeros(FEATURES, np.float32), "basis": np.zeros((FEATURES, 1), np.float32), "vectors": np.zeros((0, 1), np.float32),
+        return {"rarity": np.ones(FEATURES, np.float32), "mean": np.zeros(FEATURES, np.float32), "basis": np.zeros((FEATURES, 1), np.float32), "vectors": np.zeros((0, 1), np.float32),
                 "labels": np.zeros(0), "weights": np.zeros(0), "prior": prior}
     order = np.lexsort((table.column("features").to_pylist(), marks))
     marks = marks[order]
     matrix = np.stack([np.frombuffer(table.column("features")[int(i)].as_py(), np.float32) for i in order])
+    rarity = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)   # none is without weight
+    matrix = weighted(matrix, rarity)
     mean = matrix.mean(axis=0)
-    matrix = matrix - mean
+    matrix -= mean
     width = min(width, *matrix.shape)
     start = matrix @ np.random.default_rng(5).standard_normal((FEATURES, width + 8)).astype(np.float32)
     for _ in range(3):   # subspace iteration
@@ -97,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, width: int = 48, i
     basis = np.linalg.svd(small, full_matrices=False)[2][:width].T.astype(np.float32)
     vectors = units(matrix @ basis)
     weights = np.array([shares[int(m)] / max(1, (marks == m).sum()) for m in marks])
-    return {"mean": mean, "basis": basis, "vectors": vectors, "labels": marks.astype(float), "weights": weights / weights.mean(), "prior": prior}
+    return {"rarity": rarity, "mean": mean, "basis": basis, "vectors": vectors, "labels": marks.astype(float), "weights": weights / weights.mean(), "prior": prior}
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -108,7 +130,7 @@ def votes(model: dict, rows: np.ndarray, neighbours: int, sharpness: float) -> n
     """Shares of label 1 among the nearest labelled vectors, weighted by similarity."""
     if not len(model["labels"]):
         return np.full(len(rows), model["prior"])
-    cosine = units((rows - model["mean"]) @ model["basis"]) @ model["vectors"].T
+    cosine = units((weighted(rows, model["rarity"]) - model["mean"]) @ model["basis"]) @ model["vectors"].T
     k = min(neighbours, cosine.shape[1])
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
     weight = np.exp(sharpness * (np.take_along_axis(cosine, near, axis=1) - 1)).astype(float) * model["weights"][near]
@@ -118,13 +140,14 @@ def votes(model: dict, rows: np.ndarray, neighbours: int, sharpness: float) -> n
 
 def scorer(model, text: int, neighbours: int, sharpness: float, added: str):
     def run(batches):
+        powers = Powers()
         for batch in batches:
             data, offsets = texts_of(batch.column(text))
             scores = np.zeros(batch.num_rows)
             for first, last in slices(offsets):
                 for a in range(first, last, BLOCK):
                     b = min(a + BLOCK, last)
-                    scores[a:b] = votes(model.value, features(data, offsets[a: b + 1]), neighbours, sharpness)
+                    scores[a:b] = votes(model.value, features(data, offsets[a: b + 1], powers), neighbours, sharpness)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, added])
     return run
 
@@ -133,7 +156,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, neighbours: int = 25, shar
                   label: str = "quality", rows: int = 3000, width: int = 48, prefix: str = "__") -> DataFrame:
     """The columns of ``docs`` and ``__score``: how likely quality is 1, from 0 to 1.
 
-    Every text is placed in the latent space that ``fit`` finds in a bounded sample of labelled documents, and its exact cosines with all
+    Every text is placed in the latent space that ``fit`` finds in a bounded sample of labelled documents (words, pairs of words, runs of letters and shapes, weighted by rarity), and its exact cosines with all
     labelled vectors are taken block by block; the nearest ``neighbours`` vote with weights that fall with distance. Labelled vectors and
     space are broadcast; their size is bounded by ``rows`` and ``width``. Documents aren't moved.
 

@@ -335,6 +335,24 @@ def test_quality_of_the_evaluation_fold(spark):
     assert sum((r[0] >= 0.3) == r[1] for r in found) >= 0.98 * len(found)
 
 
+def test_quality_tells_classes_that_differ_by_words_only(spark):
+    rng = random.Random(12)
+    sound = "river garden window market letter simple gather winter bottle doctor planet silver forest danger".split()
+    spam = "casino jackpo wallet crypto lender payday viagra replic luxury profit lottos gambli clicks bonusx".split()   # as long as the sound ones
+
+    def drawn(pool):
+        return " ".join(rng.choice(pool) for _ in range(40))
+
+    def gibberish():   # each text has words of its own
+        return " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(40))
+    texts = [(3 * i + k, make(), label) for i in range(150) for k, (make, label) in enumerate(((lambda: drawn(sound), 1), (lambda: drawn(spam), 0), (gibberish, 0)))]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, label) for i, _, label in texts], "doc_id bigint, quality int")
+    found = score_quality(docs, labels).where(held_out("doc_id")).collect()
+    label = {i: k for i, _, k in texts}
+    assert len(found) > 60 and all((r[-1] >= 0.5) == label[r.doc_id] for r in found)
+
+
 def test_sharding(docs, rows, none):
     for shards in (3, 16):
         out = shard_documents(docs, shards).collect()
