@@ -8,8 +8,9 @@ from codeloom.llm.storage import materialize
 MAX_RULES = 1000   # literal rules of one expression
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-CANONICAL = r"(?is)<link\b(?=[^>]{0,2000}?\brel\s*=\s*[\"']?canonical\b)[^>]{0,2000}?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]{0,2000}?\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]{0,2000}?\bcontent\s*=\s*[\"']?[\d.\s]*[;,]?\s*url\s*=\s*'?([^\"'\s>]+)"
+BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+CANONICAL = r"(?is)<link\b(?=[^>]*?\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+REFRESH = r"(?is)<meta\b(?=[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?[\d.\s]*[;,]?\s*url\s*=\s*'?([^\"'\s>]+)"
 
 
 def parsed(df: DataFrame, url: str, host: str, path: str, key: str) -> DataFrame:
@@ -34,18 +35,44 @@ def decision(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return F.array_max(F.array(none, *fits))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without its segments ``.`` and ``..``."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: F.when(part == ".", done).when(
+        part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part))))
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.contains("/."), F.concat(joined, F.when(last.isin(".", "..") & (joined != "/"), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(df: DataFrame, base: str, link: str) -> DataFrame:
+    """``df`` with the column ``link`` made absolute: what names a scheme and a host stays; others are taken from the URL ``base``, by the scheme,
+    the host's root, the folder or the page. Null if another scheme has no host (``mailto:``) or the base has none."""
+    to, scheme = F.col(link), F.regexp_extract(base, "^[^:/?#]*", 0)
+    root = F.regexp_extract(base, "^[^:/?#]*://[^/?#]+", 0)
+    rest = F.substring(F.col(base), F.length(root) + 1, F.length(base))
+    path, query = F.regexp_extract(rest, "^[^?#]*", 0), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1)
+    to_path, tail = F.regexp_extract(to, "^[^?#]*", 0), F.regexp_extract(to, "^[^?#]*(.*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
+    there = F.when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(root, without_dots(to_path), tail)).when(
+        to.startswith("?"), F.concat(root, path, to)).when(to.startswith("#"), F.concat(root, path, query, to)).otherwise(
+        F.concat(root, without_dots(F.concat(folder, to_path)), tail))
+    return df.withColumn(link, F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & (root != ""), there))
+
+
 def edges_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target): keys of pages and of what their canonical links and refresh redirects name. A link may be absolute, from
-    the scheme, or from the root of the page's host; others name no page."""
+    """(source, target): keys of pages and of what their canonical links and refresh redirects name. Links that are not absolute are
+    resolved against the page's URL, or against the first ``base`` of the page; those without a host (``mailto:``) name no page."""
     text = F.col(html)
     links = F.filter(F.array(*[F.when(text.rlike(f"(?i){word}"), F.regexp_extract(text, pattern, 1))
                                for word, pattern in (("canonical", CANONICAL), ("refresh", REFRESH))]), lambda x: x != "")
-    found = materialize(pages.select(F.col(url).alias("url"), F.explode(links).alias("link")))
-    found = parsed(found, "url", "host", "path", "source").withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&")))
-    link, scheme = F.col("link"), F.regexp_extract("url", "^[^:/?#]*", 0)
-    found = found.withColumn("link", F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-                             .when(link.startswith("/"), F.concat(scheme, F.lit("://"), "host", link)))
-    return parsed(found, "link", "h", "p", "target").where("source <> target").select("source", "target")
+    own = F.when(text.rlike("(?i)<base"), F.nullif(F.regexp_extract(text, BASE, 1), F.lit("")))
+    found = pages.select(F.col(url).alias("url"), F.explode(links).alias("link"), own.alias("base"))
+    found = materialize(found.withColumns({c: F.replace(c, F.lit("&amp;"), F.lit("&")) for c in ("link", "base")}))
+    # written after each step: a filter that moves down through the steps would repeat their expressions in each other
+    found = materialize(resolved(found, "url", "base").withColumn("base", F.coalesce("base", "url")))
+    found = materialize(resolved(found, "base", "link").select("url", "link"))
+    return parsed(parsed(found, "url", "host", "path", "source"), "link", "h", "p", "target").where("source <> target").select("source", "target")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, id: str = "page_id", url: str = "url",

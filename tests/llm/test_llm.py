@@ -25,7 +25,7 @@ from codeloom.llm.sharding import minimax_cuts, shard_documents
 from codeloom.llm.storage import held_out, shared_folder
 from codeloom.llm.token_counts import count_tokens, read_cache
 from codeloom.llm.tokens import Encoder, version_of
-from codeloom.llm.urls import judge_urls
+from codeloom.llm.urls import edges_of, judge_urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, n_words int, __score string, digest string, n string, a int"
@@ -319,6 +319,24 @@ def test_urls(spark):
     assert judge_urls(df, rules).count() == len(pages) and judge_urls(df.where("false"), rules).count() == 0
 
 
+def test_links_are_resolved_as_on_real_pages(spark):
+    canonical, refresh, long = '<link rel="canonical" href="{0}">', '<meta http-equiv="refresh" content="0; url={0}">', "x" * 5000
+    page = "/x/y/p.html?q=1"
+    links = {"page2.html": "H/x/y/page2.html", "../z": "H/x/z", "../../../z/./w/..": "H/z/", "..": "H/x/", ".": "H/x/y/", "?p=1&amp;r=../s": "H/x/y/p.html?p=1&r=../s",
+             "/login?next=https://bad.net/": "H/login?next=https://bad.net/", "/m/../n": "H/n", "//B.com/c": "b.com/c", "HTTPS://c.com/d?e=http://f/": "c.com/d?e=http://f/",
+             "sub/?u=http://g/": "H/x/y/sub/?u=http://g/", "#top": None, "mailto:me@b.com": None, "javascript:go()": None, "p.html?q=1": None}
+    cases = [(page, form.format(link), to) for link, to in links.items() for form in (canonical, refresh)]
+    cases += [(page, f'<link rel="canonical" title="{long}" href="http://far.com/1">', "far.com/1"), ("", canonical.format("z"), "H/z"), ("?u=/v/w", canonical.format("z"), "H/z"),
+              (page, f'<meta data="{long}" content="0;url=http://far.com/2" title="{long}" http-equiv=refresh>', "far.com/2"),
+              (page, '<base href="/r/s">' + canonical.format("z"), "H/r/z"), (page, "<base href='http://o.com'>" + canonical.format("z"), "o.com/z"), (page, '<base target="_blank">' + canonical.format("z"), "H/x/y/z")]
+    pages = [(f"http://h{i}.com{at}", html) for i, (at, html, _) in enumerate(cases)] + [("no scheme", canonical.format("z")), (None, canonical.format("z"))]
+    got = {r.source: r.target for r in edges_of(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got == {f"h{i}.com{at}": to.replace("H/", f"h{i}.com/") for i, (at, _, to) in enumerate(cases) if to}
+    judged = judge_urls(spark.createDataFrame([(1, "http://a.com/1", canonical.format("/login?next=https://bad.net/")), (2, "http://a.com/d/2", refresh.format("../evil/q"))],
+                                              "page_id bigint, url string, html string"), [("block", "bad.net", "/"), ("block", "a.com", "/evil")]).collect()
+    assert {r.page_id: r.verdict for r in judged} == {1: "allow", 2: "block"}
+
+
 def test_quality(spark, docs, rows, none):
     labels = spark.createDataFrame([(i, 1, "x") for i in range(0, 40)] + [(i, 0, "x") for i in (205, 211, 213)] + [(None, 1, "x"), (1, 1, "x"), (2, None, "x"), (999, 1, "x")],
                                    "doc_id bigint, quality int, text string")
