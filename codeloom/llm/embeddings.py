@@ -114,15 +114,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int = 14,
                                         F.any_value("unit").alias("unit"), F.any_value("signs").alias("signs"))
     # a node's number: its first digits, distinct but with a probability of n * n / 2**64
     nodes = materialize(nodes.withColumn("node", F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")))
-    keys = nodes.select("node", "label", F.posexplode("signs").alias("table", "sign"))
-    sizes = keys.groupBy("label", "table", "sign").agg(F.count("*").alias("rows")).where("rows > 1")
-    sizes = materialize(sizes.select("label", "table", "sign", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
-    keys = keys.join(sizes, ["label", "table", "sign"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # the width is part of a bucket: vectors of different length are never compared
+    keys = nodes.select("node", "label", F.octet_length("unit").alias("width"), F.posexplode("signs").alias("table", "sign"))
+    sizes = keys.groupBy("label", "width", "table", "sign").agg(F.count("*").alias("rows")).where("rows > 1")
+    sizes = materialize(sizes.select("label", "width", "table", "sign", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
+    keys = keys.join(sizes, ["label", "width", "table", "sign"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     keys = keys.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    keys = keys.select("node", "label", "table", "sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    keys = keys.select("node", "label", "width", "table", "sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
     members = keys.join(nodes.select("node", "copies", "unit", "signs"), "node")
-    found = members.groupBy("label", "table", "sign", "i", "j").applyInArrow(compared(threshold), "node bigint, links bigint, other bigint")
+    found = members.groupBy("label", "width", "table", "sign", "i", "j").applyInArrow(compared(threshold), "node bigint, links bigint, other bigint")
     found = materialize(found)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null"), "node", "other")

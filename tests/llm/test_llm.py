@@ -430,6 +430,17 @@ def test_embeddings(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in twice.collect()) == [(1, 1, 1), (5, 1, 1), (9, 1, 1), (9, 1, 1)]
 
 
+def test_embeddings_of_two_widths_under_one_label(spark):
+    rng = np.random.default_rng(4)
+    rows = [(2 * i + k, (rng.normal(size=width) if i < 100 else np.arange(1, width + 1) + rng.normal(size=width) * 0.01).tolist(), 1) for i in range(200) for k, width in enumerate((8, 16))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), bits=4).collect()}
+    for k in (0, 1):
+        own = [(i, np.array(v) / np.linalg.norm(v)) for i, v, _ in rows if i % 2 == k]
+        for i, v in own:
+            near = [j for j, w in own if v @ w >= 0.98]
+            assert got[i] == (len(near) - 1, min(near))
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for ids in (rng.integers(0, 300, 3000), rng.zipf(1.5, 2000) % 70_000, np.zeros(5, int), np.array([70_000]), np.zeros(0, int)):
