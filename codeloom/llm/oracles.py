@@ -1,5 +1,64 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
+# CRC-32: the table of one step for each byte, and the CRC of a string's bytes
+STEP = "list_reduce(list_prepend(b, range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+CRC = f"crc_table AS (SELECT list({STEP} ORDER BY b) AS steps FROM range(256) AS r(b))"
+
+
+def crc32(text: str) -> str:
+    code = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {code}), lambda x, b: xor(x >> 8, steps[(xor(x, b) & 255) + 1])), 4294967295)"
+
+
+def edit(way: str, cost: str, letter: str, line: str = "''") -> str:
+    """A way (cost in 9 digits, audit, chr(1), repaired lines) after one more edit; null stays null."""
+    return (f"lpad((left({way}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({way}, 10, strpos({way}, chr(1)) - 10) || '{letter}' || chr(1) "
+            f"|| substr({way}, strpos({way}, chr(1)) + 1) || {line}")
+
+
+# ways into four states: nothing yet (n), after system (s), user (u) and assistant (a); inserts come before the edit of a row
+INSERTS = f"""SELECT *, least(a1, {edit('u1', '5', 'I', "'assistant:' || chr(10)")}) AS a2, u1 AS u2
+      FROM (SELECT *, a AS a1, least(u, {edit('n', '5', 'I', "'user:' || chr(10)")}, {edit('s', '5', 'I', "'user:' || chr(10)")},
+                                     {edit('a', '5', 'I', "'user:' || chr(10)")}) AS u1 FROM ways_now)"""
+STAYS = "fault NOT IN ('b', 'd')"
+PRICE = "(CASE WHEN fault = 't' THEN 5 ELSE 0 END)"
+OWN = "role || ':' || text || chr(10)"
+REPAIR = r"""
+WITH RECURSIVE """ + CRC + r""",
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+          FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, """ + crc32("name") + r""" % 20 AS kind FROM named, crc_table),
+dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM kinds, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c(copy)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
+marked AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final,
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+                  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+row AS (SELECT *, CASE WHEN final = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE ' ' END AS fault FROM marked),
+way(conv_id, i, n, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000' || chr(1), NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM dam
+  UNION ALL
+  SELECT conv_id, i + 1,
+         """ + edit("n", "2", "D") + r""",
+         least(""" + edit("s", "2", "D") + f""", CASE WHEN {STAYS} AND role LIKE 's%' THEN {edit('n', PRICE, 'K', OWN)} END),
+         least({edit('u2', '2', 'D')}, CASE WHEN {STAYS} AND role LIKE 'u%' THEN {edit('least(n, s, a2)', PRICE, 'K', OWN)} END,
+               CASE WHEN {STAYS} THEN {edit('least(n, s, a2)', PRICE + ' + 1', 'R', "'user:' || text || chr(10)")} END),
+         least({edit('a2', '2', 'D')}, CASE WHEN {STAYS} AND role LIKE 'a%' THEN {edit('u2', PRICE, 'K', OWN)} END,
+               CASE WHEN {STAYS} THEN {edit('u2', PRICE + ' + 1', 'R', "'assistant:' || text || chr(10)")} END)
+  FROM ({INSERTS.replace('ways_now', '(SELECT w.*, r.role, r.text, r.fault FROM way w JOIN row r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1)')})),
+last AS (SELECT w.conv_id, least(n, a2) AS best FROM ({INSERTS.replace('ways_now', 'way')}) w
+         JOIN (SELECT conv_id, max(i) AS i FROM row GROUP BY 1) m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND w.i = m.i),
+tally AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                 count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM row GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 9)::BIGINT, 0) AS cost,
+       coalesce(substr(best, 10, strpos(best, chr(1)) - 10), '') AS audit,
+       sha256(coalesce(substr(best, strpos(best, chr(1)) + 1, greatest(length(best) - strpos(best, chr(1)) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN tally t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+LEFT JOIN last l ON o.conv_id IS NOT DISTINCT FROM l.conv_id"""
+
 SQL = {
     "op1_decontaminate": r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -66,4 +125,26 @@ n AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
        vec_id <= coalesce(least.b, vec_id) AS kept
 FROM vec LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id""",
+
+    "op11_conversation_repair": REPAIR,
+
+    "op13_resampling": r"""
+WITH """ + CRC + r""",
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS w FROM doc),
+goal AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+crc AS (SELECT w, """ + crc32("w") + r""" % 10000 AS bucket FROM (SELECT w FROM word UNION SELECT w FROM goal), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM word JOIN crc USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM goal JOIN crc USING (w) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+                                      / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS gain
+         FROM s FULL JOIN t USING (bucket)),
+weight AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM word JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+           FROM doc LEFT JOIN weight USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (doc_id)""",
 }
