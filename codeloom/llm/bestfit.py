@@ -11,6 +11,7 @@ from codeloom.llm.storage import free_prefix, materialize
 from codeloom.llm.tokens import encoder_of
 
 BAND = 4          # a round takes documents of a length down to that part of its longest
+PART = 512        # pieces that leave a task together
 CHUNK = 1 << 20   # new sequences that one row of the driver stands for
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 TAKES = "size int, first bigint, last bigint, room int, gap bigint, each int, used int"
@@ -23,15 +24,24 @@ def cutter(content, longest: int, end_id: int):
         for batch in batches:
             names = batch.column(0)
             for first, flat, ends in encoder.encode(batch.column(1)):
-                rows: list[tuple] = []
-                for row in range(len(ends) - 1):
-                    ids = np.append(flat[ends[row]: ends[row + 1]], end_id).astype("<u4")
-                    head = len(ids) % longest or longest   # the first piece is the one that may be shorter
-                    cuts = [0, *range(head, len(ids) + 1, longest)]
-                    rows += [(first + row, i, a, b - a, ids[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                at, piece, start, length, ids = zip(*rows)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                                                  pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                lengths = np.diff(ends) + 1
+                ids = np.full(int(lengths.sum()), end_id, "<u4")
+                inside = np.ones(len(ids), bool)
+                inside[np.cumsum(lengths) - 1] = False
+                ids[inside] = flat
+                pieces = -(-lengths // longest)
+                head = lengths - (pieces - 1) * longest   # the first piece is the one that may be shorter
+                at = np.repeat(np.arange(len(lengths)), pieces)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.where(piece == 0, head[at], longest)
+                start = np.where(piece == 0, 0, head[at] + (piece - 1) * longest)
+                bounds = np.concatenate([[0], np.cumsum(length)])
+                for a in range(0, len(at), PART):
+                    b = min(a + PART, len(at))
+                    cuts = pa.py_buffer(((bounds[a: b + 1] - bounds[a]) * 4).astype(np.int32))
+                    data = pa.Array.from_buffers(pa.binary(), b - a, [None, cuts, pa.py_buffer(ids[bounds[a]: bounds[b]])])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(first + at[a:b])), pa.array(piece[a:b].astype(np.int32)), pa.array(start[a:b]), pa.array(length[a:b]), data],
+                                                     ["doc_id", "piece", "start", "length", "ids"])
     return run
 
 

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from functools import lru_cache
+from functools import wraps
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,9 +22,27 @@ EDIT = r"(?:I[ua])*(?:K|D|R[ua])"
 SPACE = " \t\n\x0b\x0c\r"
 
 
+KEPT = 1 << 14      # results that a function remembers
+
+
+def remembered(function):
+    """Results by arguments, in a plain table that travels to the executors with the function."""
+    known: dict = {}
+
+    @wraps(function)
+    def call(*arguments):
+        if arguments not in known:
+            result = function(*arguments)
+            if len(known) >= KEPT:
+                known.clear()
+            known[arguments] = result
+        return known[arguments]
+    return call
+
+
 # ---- the automaton of the role grammar
 
-@lru_cache(None)
+@remembered
 def closed(items: frozenset) -> frozenset:
     """Items (rule, dot) with those of every symbol that may come next; rule -1 is the start."""
     found, todo = set(items), list(items)
@@ -38,7 +56,7 @@ def closed(items: frozenset) -> frozenset:
     return frozenset(found)
 
 
-@lru_cache(None)
+@remembered
 def goto(state: frozenset, symbol: str) -> frozenset:
     return closed(frozenset((r, d + 1) for r, d in state if ("C" if r < 0 else RULES[r][1])[d: d + 1] == symbol))
 
@@ -46,7 +64,7 @@ def goto(state: frozenset, symbol: str) -> frozenset:
 START = closed(frozenset([(-1, 0)]))
 
 
-@lru_cache(None)
+@remembered
 def followers(head: str) -> frozenset:
     """Terminals that may follow ``head``. Only the first symbol after it counts: no symbol inside a rule can be empty."""
     found = {END} if head == "C" else set()
@@ -57,7 +75,7 @@ def followers(head: str) -> frozenset:
     return frozenset(found)
 
 
-@lru_cache(None)
+@remembered
 def after(stack: tuple, symbol: str) -> tuple | None:
     """A stack of states after all reductions that ``symbol`` allows and the symbol's shift; None if it can't come next. ``END`` gives the stack that accepts."""
     while True:
@@ -114,7 +132,7 @@ def inserted(frontier: tuple) -> dict:
     return found
 
 
-@lru_cache(1 << 14)
+@remembered
 def step(frontier: tuple, initial: str, fault: str) -> tuple[tuple, int, tuple]:
     """The frontier after one row, the least cost that is added, and for each new top (place of the old one, edits)."""
     found: dict = {}

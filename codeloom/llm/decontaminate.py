@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.storage import free_prefix
+from codeloom.llm.storage import free_prefix, materialize
 from codeloom.llm.words import Powers, Words, alphanumeric, slices, texts_of
 
 BLOCK_BYTES = 4 << 20   # benchmark text whose windows one scan holds
@@ -114,32 +114,59 @@ def scanner(windows, text: int, keep_columns: int, names: list[str]):
     return run
 
 
+def cut_items(n: int, most: int):
+    """Items (id, text) of more than ``most`` bytes to several of about that size that hold the same windows: each begins with the last ``n - 1`` words of the one before."""
+    def run(batches):
+        powers, keep = Powers(), alphanumeric()
+        for batch in batches:
+            rows = []
+            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(text.encode()) <= most:
+                    rows.append((i, text))
+                    continue
+                words = Words(*texts_of(pa.array([text])), keep, powers)
+                a = 0
+                while a < len(words):
+                    b = int(np.searchsorted(words.end, words.start[a] + most, "right"))
+                    b = min(max(b, a + n), len(words))
+                    rows.append((i, joined(words, a, b - a).decode()))
+                    a = len(words) if b == len(words) else b - n + 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["id", "text"])
+    return run
+
+
 def find_leaks(docs: DataFrame, bench: DataFrame, n: int = 10, text: str = "text", item: str = "item_id",
                item_text: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """The columns of ``docs`` and, for each row, ``n_words``, ``n_hit`` (words inside an occurrence of a window),
     ``items`` (distinct ids of benchmark items with occurring windows) and ``spans`` (byte ranges of runs of hit words).
 
-    The windows of the benchmark are broadcast as hash tables, ``block_bytes`` of benchmark text at a time; a larger benchmark
-    is scanned in several blocks, one after the other over the same rows, so what is broadcast stays bounded. The documents
-    are never shuffled. A hash that is found is verified on the words themselves.
+    The windows of the benchmark are broadcast as hash tables, about ``block_bytes`` of benchmark text at a time. A larger benchmark is scanned in several
+    blocks: the rows with what was found so far are written before the windows of the next block are made, and those of the last are freed, so the driver and the
+    tasks hold one block at any time. An item larger than a block is cut into several that share ``n - 1`` words. The documents are never shuffled. A hash that is found is
+    verified on the words themselves, so which of several windows of one hash is met first doesn't matter.
 
     A null text has no words. Items without text or words have no window; an item without id marks words but is not
-    listed; items of equal id are one item. ``prefix`` goes before the names of the new columns; columns of ``docs`` with
-    those names are replaced. Repeated rows are kept.
+    listed; items of equal id are one item. Very long texts are scanned whole, a text a slice; without rows there is no result, and without items no word is hit.
+    ``prefix`` goes before the names of the new columns; columns of ``docs`` with those names are replaced. Repeated rows are kept.
     """
     spark = docs.sparkSession
     names = [prefix + name for name, _ in COLUMNS]
     docs = docs.drop(*names)
-    bench = bench.select(F.col(item).cast("bigint").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    bench = bench.select(F.col(item).cast("bigint").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(size / block_bytes))
+    if blocks > 1:
+        bench = materialize(bench.mapInArrow(cut_items(n, block_bytes), "id bigint, text string"))
     width, at = len(docs.columns), docs.columns.index(text)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in [*docs.dtypes, *zip(names, (kind for _, kind in COLUMNS))])
     out = docs
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow()
-        windows = windows_of(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())), n)
-        out = out.mapInArrow(scanner(spark.sparkContext.broadcast(windows), at, width, names), schema)
+        windows = spark.sparkContext.broadcast(windows_of(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())), n))
+        out = out.mapInArrow(scanner(windows, at, width, names), schema)
+        if block + 1 < blocks:
+            out = materialize(out)
+            windows.destroy()
     return out
 
 

@@ -1,5 +1,7 @@
 """Near duplicates among embeddings by random hyperplanes."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -8,7 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from codeloom.llm.components import components
 from codeloom.llm.storage import materialize
 
-BLOCK_ROWS = 256   # vectors of a bucket that are compared with as many others in one task
+BLOCK_ROWS = 128    # vectors of a bucket that are compared with as many others in one piece
+GROUP_ROWS = 1 << 14   # rows of buckets that one call compares, about
+PAIRS = 1 << 16     # pairs whose products are taken at once
+MISS = 1e-5         # probability that a pair at the threshold shares no table
 
 
 def planes(seed: int, bits: int, tables: int, width: int) -> np.ndarray:
@@ -41,72 +46,105 @@ def signer(seed: int, bits: int, tables: int):
                 hashed = ((unit @ made[width] >= 0).reshape(-1, tables, bits) * weights).sum(axis=2)
                 for row, u, h in zip(rows[good], unit, hashed):
                     units[row], signs[row] = u.tobytes(), h.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary()), pa.array(signs, pa.list_(pa.int32()))],
                                              ["id", "label", "unit", "signs"])
     return run
 
 
+def pairs_of(first: np.ndarray, sizes: np.ndarray):
+    """Places (i, j), i < j, of all pairs inside runs of rows that begin at ``first`` and have ``sizes`` rows, some at a time. Runs of one size are worked together."""
+    for size in np.unique(sizes[sizes > 1]):
+        starts = first[sizes == size]
+        i, j = np.triu_indices(int(size), 1)
+        for a in range(0, len(starts), max(1, PAIRS // len(i))):
+            some = starts[a: a + max(1, PAIRS // len(i)), None]
+            yield (some + i).ravel(), (some + j).ravel()
+
+
+def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches by links: minima over links and jumps over their own result, until nothing changes."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, left, root[right])
+        np.minimum.at(least, right, root[left])
+        np.minimum.at(least, root, least.copy())   # a root follows the least that any of its own found
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
 def compared(threshold: float):
-    """Links of one pair of blocks of a bucket: how many for each node, counted by its partners' copies, and a spanning forest.
+    """Links of many buckets: how many for each node, counted by its partners' copies, and the smallest node that each reaches by them.
 
-    A pair that meets in several tables counts in the first only. The matrix product finds pairs within rounding of the threshold; the sums
-    of products of such pairs are then taken again, one pair at a time, the same way whatever the block.
+    A pair that meets in several tables counts in the first only. Products of all pairs of a bucket are taken together; those within rounding of the threshold are
+    taken again, the same way whatever the bucket.
     """
     def run(table: pa.Table) -> pa.Table:
-        node, side, copies, at = (table.column(c).to_numpy() for c in ("node", "side", "copies", "table"))
-        unit = np.stack([np.frombuffer(u) for u in table.column("unit").to_pylist()])
-        signs = np.array(table.column("signs").to_pylist(), np.int64)
-        first = np.flatnonzero(side <= 1)
-        second = np.flatnonzero(side != 1)
-        links = np.zeros(len(node), np.int64)
-        parent = np.arange(len(node))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        left, right = [], []
-        cosine = unit[first] @ unit[second].T
-        for x, y in zip(*np.nonzero(cosine >= threshold - 1e-9)):
-            i, j = first[x], second[y]
-            if (side[i] == 0 and node[i] >= node[j]) or (signs[i, : at[0]] == signs[j, : at[0]]).any():
-                continue
-            if abs(cosine[x, y] - threshold) < 1e-9 and float((unit[i] * unit[j]).sum()) < threshold:
-                continue
-            links[i] += copies[j]
-            links[j] += copies[i]
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                left.append(node[i])
-                right.append(node[j])
-        some = np.flatnonzero(links)
-        return pa.table({"node": pa.array(np.concatenate([node[some], np.array(left, np.int64)])),
-                         "links": pa.array(np.concatenate([links[some], np.zeros(len(left), np.int64)])),
-                         "other": pa.array([None] * len(some) + [int(x) for x in right], pa.int64())})
+        node, copies, side, width, bucket, at = (table.column(c).to_numpy() for c in ("node", "copies", "side", "width", "bucket", "table"))
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((at, bucket, width))
+        signs = np.array(table.column("signs").to_pylist(), np.int32)
+        links, left, right = np.zeros(len(node), np.int64), [], []
+        packed = table.column("unit").to_pylist()
+        tables = np.arange(signs.shape[1])
+        for wide in np.unique(width):
+            rows = order[width[order] == wide]
+            unit = np.frombuffer(b"".join([packed[i] for i in rows])).reshape(len(rows), -1)
+            new = np.concatenate([[True], (np.diff(bucket[rows]) != 0) | (np.diff(at[rows]) != 0), [True]])
+            first = np.flatnonzero(new)
+            for i, j in pairs_of(first[:-1], np.diff(first)):
+                cosine = np.einsum("ij,ij->i", unit[i], unit[j])
+                hit = cosine >= threshold - 1e-9
+                i, j, cosine = i[hit], j[hit], cosine[hit]
+                near = np.abs(cosine - threshold) < 1e-9
+                x, y = rows[i], rows[j]
+                keep = (label[x] == label[y]) & ((side[x] == 0) | (side[x] != side[y]))
+                keep[near] &= (unit[i[near]] * unit[j[near]]).sum(axis=1) >= threshold
+                keep &= ~((signs[x] == signs[y]) & (tables < at[x][:, None])).any(axis=1)
+                x, y = x[keep], y[keep]
+                np.add.at(links, x, copies[y])
+                np.add.at(links, y, copies[x])
+                left.append(x)
+                right.append(y)
+        # a node has one row in each of its buckets: links join nodes
+        names, own = np.unique(node, return_inverse=True)
+        total = np.bincount(own, weights=links, minlength=len(names)).astype(np.int64)
+        none = np.zeros(0, np.int64)
+        root = roots_of(len(names), own[np.concatenate([none, *left])], own[np.concatenate([none, *right])])
+        some = np.flatnonzero(total)
+        return pa.table({"node": pa.array(names[some]), "links": pa.array(total[some]), "other": pa.array(names[root[some]])})
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int = 14, tables: int = 20, seed: int = 7, id: str = "vec_id",
+def plan_of(rows: int, threshold: float, miss: float, bits: int | None = None) -> tuple[int, int]:
+    """Bits if they aren't given, so that a table has about as many signs as there are rows, and tables, so that a pair at the threshold is missed with a probability of at most ``miss``."""
+    bits = bits or min(30, max(8, math.ceil(math.log2(max(rows, 2)))))
+    share = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-share))) if share < 1 else 1
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int | None = None, tables: int | None = None, seed: int = 7, id: str = "vec_id",
                     vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row of ``vectors``: ``id`` under its own name, ``n_links`` (other vectors linked directly), ``component_id`` (the smallest id reachable) and
     ``kept`` (whether that is its own).
 
     Vectors of one label link when their cosine in double precision is at least ``threshold``. Candidates are vectors that share all ``bits`` signs of
     at least one of ``tables`` sets of random hyperplanes; each pair found is checked exactly. Two vectors at angle a share a table with probability
-    ``(1 - a / pi) ** bits``: by default, pairs at cosine 0.98 are found with probability above 0.9999, closer ones more surely. More vectors need more
-    bits, about one per doubling, to keep buckets as small, and then more tables.
+    ``(1 - a / pi) ** bits``. Without ``bits`` there is one for each doubling of the number of vectors, so buckets stay as small at any size; without ``tables`` there are as
+    many as find a pair at the threshold with a probability of at least 1 - 1e-5, closer ones more surely (20 at ten thousand vectors, about 60 at a hundred million).
 
     Equal vectors of a label are one node with a number of copies, so a very common vector is compared once. A bucket of many nodes is cut into
-    blocks, and pairs of blocks are compared in different tasks; links are counted where they are found and only counts and a spanning
-    forest leave a task. Null, zero or non-finite vectors and those with a null label link with nothing; vectors of different length never link.
+    blocks, and pairs of blocks are compared apart; small buckets are compared by many in one call. Links are counted where they are found; only counts and the
+    smallest node that each node reaches leave a task. A pair exactly at the threshold links. Null, zero or non-finite vectors and those with a null label link with nothing; vectors of different length never link.
     Rows of one id are vectors of their own that share a component; a row with a null id is a vector that links and is counted, but has a null
-    component unless another id reaches it. Other columns are ignored.
+    component unless another id reaches it. Other columns are ignored. An empty table gives no rows.
     """
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    signed = rows.mapInArrow(signer(seed, bits, tables), "id bigint, label string, unit binary, signs array<bigint>")
+    made = plan_of(1 if bits else rows.count(), threshold, MISS, bits)
+    bits, tables = made[0], tables or made[1]
+    signed = rows.mapInArrow(signer(seed, bits, tables), "id bigint, label string, unit binary, signs array<int>")
     signed = materialize(signed.withColumn("digest", F.when(F.col("label").isNotNull() & F.col("unit").isNotNull(),
                                                             F.sha2(F.concat(F.col("unit"), F.encode("label", "UTF-8")), 256))))
     valid = signed.where("digest is not null")
@@ -117,16 +155,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int = 14,
     # the width is part of a bucket: vectors of different length are never compared
     keys = nodes.select("node", "label", F.octet_length("unit").alias("width"), F.posexplode("signs").alias("table", "sign"))
     sizes = keys.groupBy("label", "width", "table", "sign").agg(F.count("*").alias("rows")).where("rows > 1")
-    sizes = materialize(sizes.select("label", "width", "table", "sign", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
-    keys = keys.join(sizes, ["label", "width", "table", "sign"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = materialize(sizes.select("label", "width", "table", "sign", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), "rows"))
+    groups = max(1, (sizes.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0) // GROUP_ROWS)
+    keys = keys.join(sizes.drop("rows"), ["label", "width", "table", "sign"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     keys = keys.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    keys = keys.select("node", "label", "width", "table", "sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    members = keys.join(nodes.select("node", "copies", "unit", "signs"), "node")
-    found = members.groupBy("label", "width", "table", "sign", "i", "j").applyInArrow(compared(threshold), "node bigint, links bigint, other bigint")
-    found = materialize(found)
+    bucket = F.xxhash64("label", "width", "table", "sign", F.least("own", "other"), F.greatest("own", "other"))
+    keys = keys.select("node", "label", "width", "table", side.alias("side"), bucket.alias("bucket"))
+    members = keys.join(nodes.select("node", "copies", "unit", "signs"), "node").withColumn("group", F.pmod("bucket", F.lit(groups)))
+    found = materialize(members.groupBy("group").applyInArrow(compared(threshold), "node bigint, links bigint, other bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.where("other is not null"), "node", "other")
+    joined = components(found.where("node <> other"), "node", "other")
     # ids: a component's smallest, over all its nodes and over rows that share an id
     named = nodes.select("digest", "node", "copies", "least").join(links, "node", "left").join(joined, "node", "left")
     named = materialize(named.select("digest", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least"))

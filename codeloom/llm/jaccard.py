@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm.components import components
 from codeloom.llm.storage import free_prefix, gathered_rows, materialize, summed
-from codeloom.llm.words import Powers, Words, not_space, shingle_sets, slices, texts_of
+from codeloom.llm.words import Powers, Words, mix, not_space, shingle_sets, slices, texts_of
 
 BUCKETS = 1 << 18       # of the n-gram order: 2 MB, whatever the size of the input
+LEAST_BITS = 512        # of a set's parities
+LEAST_CELL = 1 << 12    # sets of a cell of an n-gram
+WANTED_BITS = 1 << 24   # 2 MB, whatever the size of the input
 BLOCK_GRAMS = 1 << 19   # n-grams and
 BLOCK_ROWS = 64         # sets that one verification holds, about
 
@@ -37,16 +40,29 @@ def ordered(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return grams[np.argsort(counts[buckets(grams)], kind="stable")]
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """For each of a power of two of buckets (at least ``LEAST_BITS`` and as many as n-grams) the parity of the n-grams in it, as bits."""
+    size = max(LEAST_BITS, 1 << (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams >> np.uint64(32)).astype(np.int64) & (size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def could_overlap(n1: int, bits1: bytes, n2: int, bits2: bytes, percent: int) -> bool:
+    """Whether sets can link by their parities: each bit that differs is an n-gram that only one of them has. The larger is folded to the size of
+    the smaller; folding parities is adding them."""
+    x, y = np.frombuffer(bits1, np.uint8), np.frombuffer(bits2, np.uint8)
+    small = min(len(x), len(y))
+    differ = np.bitwise_xor.reduce(x.reshape(-1, small)) ^ np.bitwise_xor.reduce(y.reshape(-1, small))
+    most = (n1 + n2 - int(np.bitwise_count(differ).sum())) // 2
+    return most * (100 + percent) >= percent * (n1 + n2)
+
+
 def summaries(k: int):
     def run(batches):
         powers = Powers()
         for batch in batches:
-            sizes, digests = [], []
-            for grams in sets_of(batch.column(1), k, powers):
-                sizes.append(len(grams))
-                digests.append(blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
-                                             ["id", "n", "digest"])
+            rows = [(len(g), blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None, parities(g) if len(g) else None) for g in sets_of(batch.column(1), k, powers)]
+            sizes, digests, bits = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())], ["id", "n", "digest", "bits"])
     return run
 
 
@@ -62,25 +78,35 @@ def bucket_counts(k: int):
     return run
 
 
+def cells_of(counts: np.ndarray) -> np.ndarray:
+    """Into how many cells the sets that hold an n-gram of a bucket are spread: 1, but for buckets of very many more sets than the mean."""
+    return -(-counts // max(LEAST_CELL, 16 * int(counts.mean())))
+
+
 def prefixes(k: int, counts, percent: int):
-    """(id, n, gram, place): the prefix of each set and the place of each n-gram in the ordered set."""
+    """(id, n, gram, place, cell): the prefix of each set, the place of each n-gram in the ordered set, and 0 or, for an n-gram of a bucket with several cells, the cell
+    (from 1) that the set's own hash gives: equal sets are in one cell."""
     def run(batches):
-        powers = Powers()
+        powers, cells = Powers(), cells_of(counts.value)
         for batch in batches:
-            sizes, grams_of = [], []
+            sizes, own, grams_of = [], [], []
             for grams in sets_of(batch.column(1), k, powers):
                 n = len(grams)
                 sizes.append(n)
+                own.append(int(mix(grams).sum(dtype=np.uint64) >> np.uint64(1)))
                 grams_of.append(ordered(grams, counts.value)[: n + (-percent * n // 100) + 1] if n else grams)
             lengths = np.array([len(g) for g in grams_of], np.int64)
             at = np.repeat(np.arange(len(sizes)), lengths)
             place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            grams = np.concatenate([*grams_of, np.zeros(0, np.uint64)]).view(np.int64)
+            grams = np.concatenate([*grams_of, np.zeros(0, np.uint64)])
+            several = cells[buckets(grams)]
+            cell = np.where(several > 1, 1 + np.array(own, np.int64)[at] % np.maximum(several, 1), 0).astype(np.int32)
+            grams = grams.view(np.int64)
             for i in range(0, len(at), 1 << 20):
                 part = slice(i, i + (1 << 20))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[part])), pa.array(np.array(sizes, np.int32)[at[part]]),
-                                                  pa.array(grams[part]), pa.array(place[part].astype(np.int32))],
-                                                 ["id", "n", "gram", "place"])
+                                                  pa.array(grams[part]), pa.array(place[part].astype(np.int32)), pa.array(cell[part])],
+                                                 ["id", "n", "gram", "place", "cell"])
     return run
 
 
@@ -200,6 +226,67 @@ def apart(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def plausible(percent: int):
+    """Pairs (a, b, an, abits, bn, bbits) to the (a, b) that can link by their parities."""
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
+            keep = pa.array([could_overlap(*row, percent) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    return run
+
+
+def pruned(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of which any versions can link by their parities, before a text is moved."""
+    known = sizes.where("id is not null and bits is not null")
+    x, y = known.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits")), known.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "an", "abits", "bn", "bbits").mapInArrow(plausible(percent), "a bigint, b bigint").distinct()
+
+
+def hashes(batches):
+    """The hashes (one column) of a task as bits, in pieces that hold any."""
+    bits = np.zeros(WANTED_BITS, bool)
+    for batch in batches:
+        bits[batch.column(0).to_numpy()] = True
+    packed = np.packbits(bits)
+    pieces = [(i, piece.tobytes()) for i, piece in enumerate(np.split(packed, len(packed) // 4096)) if piece.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([p for _, p in pieces], pa.binary())], ["piece", "bits"])
+
+
+def either(batches):
+    """Pieces of one number, put together."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            found[piece] = found.get(piece, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([b.tobytes() for b in found.values()], pa.binary())], ["piece", "bits"])
+
+
+def texts_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, n, text) of the ``wanted`` (id, n). Most texts are dropped where they are read, by a bit of their id's hash; a join follows for the rest."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
+    pieces = wanted.select(spot.alias("spot")).mapInArrow(hashes, "piece int, bits binary").repartition("piece").mapInArrow(either, "piece int, bits binary").toArrow()
+    packed = np.zeros(WANTED_BITS // 8, np.uint8)
+    for piece, bits in zip(*(c.to_pylist() for c in pieces.columns)):
+        packed[piece * 4096: (piece + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    packed = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches):
+        bits = np.unpackbits(packed.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).filter(pa.array(bits[batch.column(2).to_numpy()] == 1))
+    some = docs.where("id is not null").select("id", "text", spot.alias("spot")).mapInArrow(run, "id bigint, text string, spot bigint")
+    return materialize(some.select("id", "text").join(wanted, "id").select("id", "n", "text"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, counts, percent: int) -> DataFrame:
+    """The links among candidate ``pairs`` (a, b): first by parities, then by the sets."""
+    pairs = materialize(pruned(pairs, sizes, percent))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = materialize(sizes.join(wanted, "id").groupBy("id").agg(F.max("n").alias("n")))
+    return materialize(links_of(pairs, texts_with(docs, wanted), k, counts, percent))
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id`` under its own name, ``n_shingles`` and ``component_id``.
 
@@ -209,36 +296,37 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id: str =
 
     Equal sets are one class from the start. Candidates of an n-gram are first verified against its smallest id only, which joins
     groups of near copies in linear work; after that, only pairs of different components are candidates, all of
-    which are verified: no link between components is lost. Only texts of candidates are compared.
+    which are verified: no link between components is lost. An n-gram of very many sets is spread over cells by the sets' hashes, each with a pivot of
+    its own. Candidates are first tested by parities of their n-grams (about a bit each), which bound the overlap from above; only texts of what is left are fetched and compared.
 
     Rows of one id are versions of one document: what one of them links with, all reach. A row with a null id keeps its size, gets a null
-    component and links with nothing. Other columns are ignored; ids must be integers. Shingles are compared by
+    component and links with nothing. Other columns are ignored; ids must be integers. Very long texts are whole: a long text is a slice of its own. An empty table gives no rows. Shingles are compared by
     64-bit hashes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    sizes = materialize(docs.mapInArrow(summaries(k), "id bigint, n bigint, digest binary"))
+    sizes = materialize(docs.mapInArrow(summaries(k), "id bigint, n bigint, digest binary, bits binary"))
     classes = materialize(sizes.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     counts = summed(docs.select("text").mapInArrow(bucket_counts(k), "key int, chunk int, counts binary"), 1, BUCKETS)[0]
     counts = spark.sparkContext.broadcast(counts)   # BUCKETS numbers
 
-    # entries are made twice rather than kept: they are many, and making them is cheap
-    entries = docs.where("id is not null").mapInArrow(prefixes(k, counts, percent), "id bigint, n int, gram bigint, place int")
-    shared = materialize(entries.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("gram"))
+    # one exchange: both sides of the join are of the same partitioning by n-gram, and hold all of its columns
+    moved = docs.where("id is not null").mapInArrow(prefixes(k, counts, percent), "id bigint, n int, gram bigint, place int, cell int").repartition("gram", "cell")
+    pivots = moved.groupBy("gram", "cell").agg(F.min(F.struct("id", "n", "place")).alias("p"), F.max("id").alias("z")).where("p.id < z or cell > 0").drop("z")
+    entries = materialize(moved.join(pivots.hint("merge"), ["gram", "cell"]).select("gram", "cell", "id", "n", "place", "p"))
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    entries = materialize(entries.join(shared, "gram").join(reps, "id", "left_semi"))
-    pivots = entries.groupBy("gram").agg(F.min(F.struct("id", "n", "place")).alias("p"), F.max("id").alias("z")).where("p.id < z")
-    star = entries.alias("e").join(materialize(pivots.select("gram", "p")), "gram").where("p.id < e.id").where(could_link("p", "e", percent))
-    star = materialize(star.select(F.col("p.id").alias("a"), F.col("e.id").alias("b")).distinct())
-    x, y = entries.alias("x"), entries.alias("y")
-    wanted = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr("x.id <> y.id") & could_link("x", "y", percent), "left_semi")
-    texts = materialize(docs.join(wanted.groupBy("id").agg(F.max("n").alias("n")), "id"))
+    star = entries.alias("e").where("p.id < e.id").where(could_link("p", "e", percent)).select(F.col("p.id").alias("a"), F.col("e.id").alias("b"))
+    # pivots of the cells of one n-gram
+    cells = materialize(entries.where("cell > 0").select("gram", "p").distinct())
+    heads = cells.groupBy("gram").agg(F.min("p").alias("h"))
+    over = cells.join(heads, "gram").where("h.id < p.id").where(could_link("h", "p", percent)).select(F.col("h.id").alias("a"), F.col("p.id").alias("b"))
+    star = star.union(over).distinct().join(reps, F.col("b") == F.col("id"), "left_semi")
+    links = verified(star, docs, sizes, k, counts, percent)
 
-    links = materialize(links_of(star, texts, k, counts, percent))
     joined = components(links, "a", "b").withColumnRenamed("node", "id")
-    entries = entries.join(joined, "id", "left").select("gram", "id", "n", "place", F.coalesce("component", "id").alias("component"))
-    rest = materialize(apart(materialize(entries), percent))
-    more = materialize(links_of(rest, texts, k, counts, percent))
+    state = materialize(reps.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    rest = apart(materialize(entries.select("gram", "id", "n", "place").join(state, "id")), percent)
+    more = verified(rest, docs, sizes, k, counts, percent)
 
     again = sizes.where("id is not null").groupBy("id").count().where("count > 1").select("id")
     versions = sizes.join(again, "id").join(classes, "digest").select("id", "rep").distinct()

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.storage import gathered_rows, held_out, summed
+from codeloom.llm.storage import gathered_rows, give_back, held_out, summed
 from codeloom.llm.words import lowered, slices, texts_of
 
 GRAMS = 1 << 16   # hashed byte trigrams of words
@@ -93,11 +93,13 @@ def gatherer(names: list[str]):
 def fit(docs: DataFrame, per_language: int = 4000, id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """``languages``, ``scores`` (log shares of trigrams, one column per language) and ``barred`` (scripts x languages).
 
-    Learned from about ``per_language`` documents of each language of the training fold, drawn by hash, and from all if there are fewer; of more
-    than ``MAX_LANGUAGES`` values the most frequent ones are learned.
+    Learned from about ``per_language`` documents of each language of the training fold, drawn by hash, and from all if there are fewer. More
+    than ``MAX_LANGUAGES`` values are an error: a table of their scores would not be small, and none is left out silently.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id))
-    counts = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy(F.col(lang).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     names = sorted(r["lang"] for r in counts)
     if not names:
         return {"languages": [], "scores": np.zeros((GRAMS, 0), np.float32), "barred": np.zeros((len(SCRIPTS), 0), np.float32)}
@@ -188,6 +190,8 @@ def labeller(model, text: int, switch: float, added: list[str]):
                     score[first + r] = share[r, top[r]] / share[r].sum()
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip((predicted, score, spans), kinds))],
                                              [*batch.schema.names, *added])
+            del predicted, score, spans
+            give_back()
     return run
 
 
@@ -202,7 +206,8 @@ def identify_languages(docs: DataFrame, train: DataFrame | None = None, switch:
 
     A text that is null or has no letter is ``und`` with score 0 and no spans, and so are all if nothing could be learned. Ids of the evaluation fold are never
     learned from; only the text is an input of a prediction. Equal shares give the language that sorts first. Repeated rows are kept. ``prefix`` begins the
-    names of the new columns; columns of ``docs`` with those names are replaced.
+    names of the new columns; columns of ``docs`` with those names are replaced. Very long texts are labelled whole, a text a slice; no rows give no rows. More than
+    ``MAX_LANGUAGES`` distinct languages in ``train`` raise an error.
     """
     train = docs if train is None else train
     model = docs.sparkSession.sparkContext.broadcast(fit(train, per_language, id, text, lang))

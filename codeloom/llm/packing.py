@@ -44,12 +44,10 @@ def split(piece: tuple, length: int) -> tuple[tuple, tuple]:
 
 
 def pack(pieces: list[tuple], tiers: list[int]) -> tuple[list, list]:
-    """Full sequences of the longest tier as (tier, pieces), and what is left over, less than one of them; pieces are (document, start, length).
+    """The last pieces of all tiers put into sequences of the longest one, as (tier, pieces), and what is left over, less than one of them; pieces are (document, start, length).
 
-    Whole windows of the longest tier are cut off first. What remains of a document is routed to the shortest tier that holds it. The tiers are
-    packed from the longest down: each remaining piece of the tier opens a window of that length, gaps are filled with the longest
-    pieces of the shorter tiers that fit (later with pieces of its own), and a gap that nothing fits is closed by cutting the shortest
-    piece. Pieces of shorter tiers that filled no gap share windows of the longest tier at last, so only one is not full.
+    Each piece opens a window, gaps are filled with the longest pieces that fit, and a gap that nothing fits is closed by cutting the shortest piece, so only the last window is not
+    full.
     """
     longest = tiers[0]
     full = []
@@ -233,7 +231,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 1024, shorter
     last ids, which are cut into sequences of powers of two: nothing is padded. Tasks pack what they read and move nothing; a task holds one pool
     of documents, and a repeated task gives the same sequences under the same ids (the task's number and a running number).
 
-    Null is the empty text, which is its end id alone. A null id stays null; repeated rows are documents of their own. Other columns are ignored.
+    Null is the empty text, which is its end id alone. A null id stays null; repeated rows are documents of their own. Other columns are ignored. Very long texts are encoded
+    whole and cut into windows of the longest tier; an empty table gives no rows. Pieces of one length are interchangeable: the one that came last goes first.
     """
     content = docs.sparkSession.sparkContext.broadcast(tokenizer)
     tiers = sorted({longest, *shorter}, reverse=True)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.storage import held_out
+from codeloom.llm.storage import give_back, held_out
 from codeloom.llm.words import Powers, Words, alphanumeric, lowered, slices, texts_of
 
 TERMS, LETTERS, SHAPES = 4096, 2048, 2048   # hashed words and pairs of words; runs of letters; shapes
@@ -61,22 +61,58 @@ def features(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> np.ndarra
 
 
 def weighted(rows: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Features times their rarity, each of the three parts brought to length one, so that shapes are a third."""
-    rows = rows * rarity
+    """Features times their rarity, each of the three parts brought to length one, so that shapes are a third. Works in place."""
+    rows *= rarity
     for part in np.split(rows, [TERMS, TERMS + LETTERS], axis=1):
         part[:] = units(part)
     return rows
 
 
 def feature_rows(batches):
+    """Rows (order, label, text) to (order, label, places, values): the features that are not zero, in 6 bytes each."""
     powers = Powers()
     for batch in batches:
-        data, offsets = texts_of(batch.column(1))
+        data, offsets = texts_of(batch.column(2))
         for first, last in slices(offsets):
             for a in range(first, last, BLOCK):
                 b = min(a + BLOCK, last)
                 rows = features(data, offsets[a: b + 1], powers)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "features"])
+                places = [np.flatnonzero(r).astype("<u2") for r in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([at.tobytes() for at in places], pa.binary()),
+                                                  pa.array([r[at].tobytes() for r, at in zip(rows, places)], pa.binary())], ["order", "label", "places", "values"])
+
+
+class Sample:
+    """The features of the labelled sample, sparse; at most ``BLOCK`` rows are spread out at a time."""
+
+    def __init__(self, table: pa.Table):
+        order = np.lexsort((table.column("order").to_numpy(), table.column("label").to_numpy()))
+        self.marks = table.column("label").to_numpy()[order]
+        self.places, self.values = (np.frombuffer(b"".join(c.as_py() for c in table.column(name).take(pa.array(order))), kind)
+                                    for name, kind in (("places", "<u2"), ("values", np.float32)))
+        sizes = np.array([len(c.as_py()) // 2 for c in table.column("places")], np.int64)[order]
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.rarity = np.log((1 + len(self)) / (1 + np.bincount(self.places, minlength=FEATURES))).astype(np.float32) + np.float32(0.1)   # none is without weight
+        self.mean = np.zeros(FEATURES, np.float32)
+        self.mean = (sum(block.sum(axis=0, dtype=float) for _, block in self.blocks()) / max(1, len(self))).astype(np.float32)
+
+    def __len__(self):
+        return len(self.marks)
+
+    def blocks(self):
+        """(first row, weighted features less their mean) of a block."""
+        for a in range(0, len(self), BLOCK):
+            b = min(a + BLOCK, len(self))
+            part = slice(self.first[a], self.first[b])
+            rows = np.zeros((b - a, FEATURES), np.float32)
+            rows[np.repeat(np.arange(b - a), np.diff(self.first[a: b + 1])), self.places[part]] = self.values[part]
+            yield a, weighted(rows, self.rarity) - self.mean
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        return np.concatenate([block @ right for _, block in self.blocks()])
+
+    def transposed_times(self, right: np.ndarray) -> np.ndarray:
+        return sum(block.T @ right[a: a + len(block)] for a, block in self.blocks())
 
 
 def sample_of(labels: DataFrame, rows: int, id: str, label: str) -> DataFrame:
@@ -92,34 +128,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, width: int = 48, i
     """A space and the labelled vectors in it: ``rarity`` (of each feature, the log of the inverse share of labelled texts that have it), ``mean``, ``basis`` (features x width), ``vectors`` (unit rows), ``labels``, ``weights`` of the labels (their shares in
     training over those in the sample), ``prior``.
 
-    Fitted on a sample of at most ``rows`` labelled documents of the training fold; the driver gets ``rows * FEATURES`` numbers. Shares of labels are counted over all labels
-    of the fold.
+    Fitted on a sample of at most ``rows`` labelled documents of the training fold. Rows of one id count as one text, that of the smallest hash, so the bound holds however often an
+    id is repeated. The driver gets the features that are not zero, at most ``6 * rows * FEATURES`` bytes and about a tenth of that for common texts. Shares of labels are counted
+    over all labels of the fold.
     """
     sample = sample_of(labels, rows, id, label)
     shares = {int(r[0]): r[1] for r in labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id)).groupBy(label).count().collect()}
-    found = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), "__id")   # at most ``rows``
-    table = found.select("__label", "__text").mapInArrow(feature_rows, "label int, features binary").toArrow()
-    marks = table.column("label").to_numpy()
+    found = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), "__id")   # ids: at most ``rows``
+    found = found.groupBy("__id").agg(F.first("__label").alias("__label"), F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    sparse = "order bigint, label int, places binary, values binary"
+    table = found.select(F.xxhash64("__id").alias("order"), "__label", "__text").mapInArrow(feature_rows, sparse).toArrow()
     prior = shares.get(1, 0) / max(1, sum(shares.values())) if shares else 0.5
-    if not len(marks):
+    if not table.num_rows:
         return {"rarity": np.ones(FEATURES, np.float32), "mean": np.zeros(FEATURES, np.float32), "basis": np.zeros((FEATURES, 1), np.float32), "vectors": np.zeros((0, 1), np.float32),
                 "labels": np.zeros(0), "weights": np.zeros(0), "prior": prior}
-    order = np.lexsort((table.column("features").to_pylist(), marks))
-    marks = marks[order]
-    matrix = np.stack([np.frombuffer(table.column("features")[int(i)].as_py(), np.float32) for i in order])
-    rarity = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)   # none is without weight
-    matrix = weighted(matrix, rarity)
-    mean = matrix.mean(axis=0)
-    matrix -= mean
-    width = min(width, *matrix.shape)
-    start = matrix @ np.random.default_rng(5).standard_normal((FEATURES, width + 8)).astype(np.float32)
+    matrix = Sample(table)
+    del table
+    width = min(width, len(matrix))
+    start = matrix.times(np.random.default_rng(5).standard_normal((FEATURES, width + 8)).astype(np.float32))
     for _ in range(3):   # subspace iteration
-        start = matrix @ (matrix.T @ np.linalg.qr(start)[0])
-    small = np.linalg.qr(start)[0].T @ matrix
+        start = matrix.times(matrix.transposed_times(np.linalg.qr(start)[0]))
+    small = matrix.transposed_times(np.linalg.qr(start)[0]).T
     basis = np.linalg.svd(small, full_matrices=False)[2][:width].T.astype(np.float32)
-    vectors = units(matrix @ basis)
+    marks = matrix.marks
     weights = np.array([shares[int(m)] / max(1, (marks == m).sum()) for m in marks])
-    return {"rarity": rarity, "mean": mean, "basis": basis, "vectors": vectors, "labels": marks.astype(float), "weights": weights / weights.mean(), "prior": prior}
+    return {"rarity": matrix.rarity, "mean": matrix.mean, "basis": basis, "vectors": units(matrix.times(basis)), "labels": marks.astype(float), "weights": weights / weights.mean(), "prior": prior}
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -130,12 +163,13 @@ def votes(model: dict, rows: np.ndarray, neighbours: int, sharpness: float) -> n
     """Shares of label 1 among the nearest labelled vectors, weighted by similarity."""
     if not len(model["labels"]):
         return np.full(len(rows), model["prior"])
+    some = rows.any(axis=1)
     cosine = units((weighted(rows, model["rarity"]) - model["mean"]) @ model["basis"]) @ model["vectors"].T
     k = min(neighbours, cosine.shape[1])
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
     weight = np.exp(sharpness * (np.take_along_axis(cosine, near, axis=1) - 1)).astype(float) * model["weights"][near]
     share = (weight * model["labels"][near]).sum(axis=1) / weight.sum(axis=1)
-    return np.clip(np.where(rows.any(axis=1), share, model["prior"]), 0, 1)
+    return np.clip(np.where(some, share, model["prior"]), 0, 1)
 
 
 def scorer(model, text: int, neighbours: int, sharpness: float, added: str):
@@ -149,6 +183,7 @@ def scorer(model, text: int, neighbours: int, sharpness: float, added: str):
                     b = min(a + BLOCK, last)
                     scores[a:b] = votes(model.value, features(data, offsets[a: b + 1], powers), neighbours, sharpness)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, added])
+            give_back()
     return run
 
 
@@ -161,7 +196,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, neighbours: int = 25, shar
     space are broadcast; their size is bounded by ``rows`` and ``width``. Documents aren't moved.
 
     Ids of the evaluation fold are never learned from, and nothing but the text is an input of a score. Null and empty texts, and all texts if there are no
-    labels, get the share of label 1 (0.5 without labels). Repeated rows are kept. ``prefix`` begins the name of the new column; a column of ``docs`` with that name is replaced.
+    labels, get the share of label 1 (0.5 without labels). Very long texts are scored whole, a text a slice; an empty table gives no rows. Which of equally near
+    vectors at the edge of the nearest vote is not defined, but the same in each run. Repeated rows are kept. ``prefix`` begins the name of the new column; a column of ``docs`` with that name is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows, width, id, text, label))
     docs = docs.drop(prefix + "score")

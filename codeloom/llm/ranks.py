@@ -1,31 +1,18 @@
 """Places of rows in a global order, without one task that sees them all."""
 
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.llm.storage import free_prefix, materialize
 
 
-def numbered(part: str, row: str):
-    """The task's number and a running number, as two more columns."""
-    def run(batches):
-        number, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())],
-                                             [*batch.schema.names, part, row])
-            at += n
-    return run
-
-
 def in_order(rows: DataFrame, order: list[Column], part: str, row: str) -> DataFrame:
     """``rows`` range-sorted by ``order`` and written: ``part`` rises with the order, and ``row`` counts from 0 within it.
 
     Rows that are equal in ``order`` share a part. The table is written once, so the numbers don't change when an executor is lost.
     """
-    schema = ", ".join(f"`{n}` {k}" for n, k in [*rows.dtypes, (part, "int"), (row, "bigint")])
-    return materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered(part, row), schema))
+    # Spark's increasing ids are the task's number above 33 bits of a running number
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())
+    return materialize(placed.withColumn(part, F.shiftright(row, 33).cast("int")).withColumn(row, F.col(row).bitwiseAND(F.lit((1 << 33) - 1))))
 
 
 def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:

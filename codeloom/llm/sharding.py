@@ -134,7 +134,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id: str = "doc_id", text:
     Size is the bytes of the text and 1. Equal texts are one atomic group; null counts as the empty text. Groups are ordered by their texts' digest, and the shards
     are contiguous runs of them of the smallest possible largest size (``minimax_cuts``). A group larger than an even share has a shard as large as
     itself at least. Sizes of a group are added up before they are moved; rows are ordered by (digest, id), so a group with very many copies is
-    spread over tasks. Repeated rows are kept, null ids come last in their group; other columns are ignored.
+    spread over tasks. Repeated rows are kept, null ids come last in their group; other columns are ignored. Texts of any length are whole; an empty table gives no rows.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = materialize(docs.select(F.col(id).cast("bigint").alias("id"), (F.octet_length(content) + 1).cast("bigint").alias("size"),

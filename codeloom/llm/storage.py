@@ -1,5 +1,6 @@
 """Intermediate tables in the cluster's shared folder, and sums of arrays that tasks gather."""
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from codeloom.operators.lineage import materialize, shared_folder
 
 CHUNK = 4096   # numbers of one row of a gathered array
 
-__all__ = ["free_prefix", "gathered_rows", "held_out", "materialize", "shared_folder", "summed"]
+__all__ = ["free_prefix", "gathered_rows", "give_back", "held_out", "materialize", "shared_folder", "summed"]
 
 
 def free_prefix(columns: list[str]) -> str:
@@ -21,6 +22,14 @@ def free_prefix(columns: list[str]) -> str:
     return prefix
 
 
+def give_back() -> None:
+    """Freed memory back to the system: a worker process lives longer than its task, and the executor's memory is counted whole."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def held_out(column: str):
     """Rows of the evaluation fold: crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5)) == 0, F.lit(False))

@@ -34,7 +34,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id: str = "doc_id"
 
     Equal texts are put together before texts are moved, so a text with very many copies moves once per task. A lost executor repeats its
     part; an append is seen whole or not at all. Two runs that append at once may both store a digest; the next run's read
-    takes one of them, as counts of one version are equal. Other columns are ignored; repeated rows each get a row.
+    takes one of them, as counts of one version are equal. Other columns are ignored; repeated rows each get a row. Very long texts are encoded whole;
+    an empty table gives no rows and appends nothing.
     """
     spark = docs.sparkSession
     version = version_of(tokenizer)

@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from codeloom.llm.storage import give_back
 from codeloom.llm.words import slices, texts_of
 
-BATCH_BYTES = 32 << 20   # texts of which the distinct words are taken together
+BATCH_BYTES = 12 << 20   # texts of which the distinct words are taken together
 RANGE_BYTES = 4 << 20    # texts whose ids are put together at once
 JOINED = 200             # words of one string
 CALL = 64                # strings of one call
@@ -79,7 +80,7 @@ class Encoder:
                 if odd[a:b].any():
                     ids, ends = self._merged(part.slice(a, b - a), odd[a:b], ids, ends)
                 yield first + a, ids, ends
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     def _odd(self, column: pa.Array) -> np.ndarray:
         if not self.by_word:

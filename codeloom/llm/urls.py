@@ -86,7 +86,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     holds otherwise, and with neither the page is allowed.
 
     A null URL or one without ``://`` has an empty host and path, fits no rule, is no node and is allowed. Null html has no links. Repeated rows are
-    kept; columns of other names are ignored. URLs are equal as nodes by host in lower case, path and query.
+    kept; columns of other names are ignored. URLs are equal as nodes by host in lower case, path and query. Very long pages are searched whole; without pages there are no
+    rows. Of rules that fit equally well the one of the longer host holds, then allow.
     """
     edges = edges_of(pages, url, html)
     if redirects is not None:

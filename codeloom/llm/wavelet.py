@@ -11,26 +11,63 @@ from codeloom.llm.storage import shared_folder
 from codeloom.llm.tokens import encoder_of
 
 SHARD_TOKENS = 1 << 21   # a shard ends with the document that reaches this
-BLOCK = 512              # bits between stored ranks
-MAGIC = b"WVMX0002"
+PIECE = 1 << 13          # bytes of a plane that are compressed together, with a stored rank
+MAGIC = b"WVMX0003"
 HEADER = "<8sQQI"   # magic, tokens, documents, planes
 
 
+class Plane:
+    """The bits of a plane in pieces of ``PIECE`` bytes that are compressed one by one, with the ones before each piece: a rank, a bit or a place inflates one piece.
+    ``inflated`` counts the bytes that were."""
+
+    def __init__(self, size: int, before: np.ndarray, pieces: list[bytes]):
+        self.size, self.before, self.pieces, self.inflated = size, before, pieces, 0
+        self.ones = int(before[-1])
+        self.zeros = size - self.ones
+
+    @classmethod
+    def pack(cls, bits: np.ndarray) -> "Plane":
+        packed = np.packbits(bits, bitorder="little")
+        starts = np.arange(0, len(packed), PIECE)
+        counts = np.add.reduceat(np.bitwise_count(packed), starts, dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+        return cls(len(bits), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), [pa.compress(packed[a: a + PIECE], codec="zstd", asbytes=True) for a in starts])
+
+    def piece(self, k: int) -> np.ndarray:
+        plain = min(PIECE, -(-self.size // 8) - k * PIECE)
+        self.inflated += plain
+        return np.frombuffer(pa.decompress(self.pieces[k], plain, codec="zstd", asbytes=True), np.uint8)
+
+    def bits(self) -> np.ndarray:
+        data = np.concatenate([self.piece(k) for k in range(len(self.pieces))]) if self.pieces else np.zeros(0, np.uint8)
+        return np.unpackbits(data, count=self.size, bitorder="little").view(bool)
+
+    def rank(self, i: int) -> tuple[int, int]:
+        """Ones before place ``i``, and the bit there (0 at the end)."""
+        k, at = divmod(i, PIECE * 8)
+        if at == 0 and i >= self.size:
+            return self.ones, 0
+        data = self.piece(k)
+        byte = int(data[at // 8]) if at // 8 < len(data) else 0
+        return int(self.before[k]) + int(np.bitwise_count(data[: at // 8]).sum()) + (byte & ((1 << (at % 8)) - 1)).bit_count(), byte >> (at % 8) & 1
+
+    def places(self, nth: np.ndarray, bit: int) -> np.ndarray:
+        """Places of the ``nth`` (from 0, rising) bits of a kind; each piece that holds any is inflated once."""
+        before = self.before if bit else np.minimum(np.arange(len(self.before)) * PIECE * 8, self.size) - self.before
+        own = np.searchsorted(before, nth, "right") - 1
+        out = np.empty(len(nth), np.int64)
+        for k in np.unique(own):
+            bits = np.unpackbits(self.piece(int(k)), bitorder="little")[: self.size - int(k) * PIECE * 8]
+            out[own == k] = int(k) * PIECE * 8 + np.flatnonzero(bits == bit)[nth[own == k] - before[k]]
+        return out
+
+
 class WaveletMatrix:
     """Ids of a shard as bit planes, from the highest bit down; below each plane the zeros of all ids come first, then the ones,
-    both in order. Ranks are stored for each block of bits, so an access, a count or an occurrence takes a few steps per plane. What the planes hold of an
+    both in order. An access, a count or an occurrence takes a few steps per plane, each in one piece of it. What the planes hold of an
     id is its place in ``alphabet``, the shard's distinct ids by falling frequency: there are fewer planes, and the high ones are mostly zeros."""
 
-    def __init__(self, size: int, planes: list[np.ndarray], alphabet: np.ndarray):
+    def __init__(self, size: int, planes: list[Plane], alphabet: np.ndarray):
         self.size, self.planes, self.alphabet = size, planes, alphabet
-        self.code = {int(x): i for i, x in enumerate(alphabet)}
-        self.ranks, self.zeros = [], []
-        for plane in planes:
-            ones = np.bitwise_count(plane)
-            fill = np.zeros(-len(ones) % (BLOCK // 8), np.uint8)
-            sums = np.append(ones, fill).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-            self.ranks.append(np.append(0, np.cumsum(sums)))
-            self.zeros.append(size - int(self.ranks[-1][-1]))
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
@@ -43,99 +80,107 @@ class WaveletMatrix:
         row, planes = codes[ids], []
         for bit in range(max(1, (len(alphabet) - 1).bit_length()) - 1 if len(alphabet) else -1, -1, -1):
             ones = (row & kind(1 << bit)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
+            planes.append(Plane.pack(ones))
             row = np.concatenate([np.compress(~ones, row), np.compress(ones, row)])
         return cls(len(ids), planes, alphabet)
 
+    @property
+    def inflated(self) -> int:
+        return sum(p.inflated for p in self.planes)
+
     def ids(self) -> np.ndarray:
         """All ids in order, plane by plane from the lowest."""
         kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         row = np.zeros(self.size, kind)
         for i, plane in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
-            zeros, above = self.zeros[len(self.planes) - 1 - i], np.empty(self.size, kind)
-            above[np.flatnonzero(~ones)] = row[:zeros]
-            above[np.flatnonzero(ones)] = row[zeros:] | kind(1 << i)
+            ones, above = plane.bits(), np.empty(self.size, kind)
+            above[np.flatnonzero(~ones)] = row[:plane.zeros]
+            above[np.flatnonzero(ones)] = row[plane.zeros:] | kind(1 << i)
             row = above
         return self.alphabet[row]
 
-    def _ones(self, level: int, i: int) -> int:
-        """Ones before place ``i`` of a plane."""
-        plane, block = self.planes[level], i // BLOCK
-        total = int(self.ranks[level][block])
-        total += int(np.bitwise_count(plane[block * BLOCK // 8: i // 8]).sum())
-        return total + ((int(plane[i // 8]) & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else 0)
-
-    def _place(self, level: int, nth: int, bit: int) -> int:
-        """Place of the ``nth`` (from 0) bit of a kind in a plane."""
-        ranks = self.ranks[level]
-        before = ranks if bit else np.minimum(np.arange(len(ranks)) * BLOCK, self.size) - ranks
-        block = int(np.searchsorted(before, nth, "right")) - 1
-        bits = np.unpackbits(self.planes[level][block * BLOCK // 8: (block + 1) * BLOCK // 8], bitorder="little")[: self.size - block * BLOCK]
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - int(before[block])])
-
     def access(self, i: int) -> int:
         """The id at place ``i``."""
         value = 0
-        for level, plane in enumerate(self.planes):
-            bit = int(plane[i // 8]) >> (i % 8) & 1
-            ones = self._ones(level, i)
-            i = self.zeros[level] + ones if bit else i - ones
+        for plane in self.planes:
+            ones, bit = plane.rank(i)
+            i = plane.zeros + ones if bit else i - ones
             value = value << 1 | bit
         return int(self.alphabet[value])
 
+    def _code(self, value: int) -> int | None:
+        found = np.flatnonzero(self.alphabet == value)
+        return int(found[0]) if len(found) else None
+
     def rank(self, value: int, end: int) -> int:
         """Occurrences of an id before place ``end``."""
-        if value not in self.code:
+        code = self._code(value)
+        if code is None:
             return 0
-        first, last = self._range(self.code[value], 0, end)
+        first, last = self._range(code, 0, end)
         return last - first
 
-    def _range(self, value: int, first: int, last: int) -> tuple[int, int]:
-        for level in range(len(self.planes)):
-            a, b = self._ones(level, first), self._ones(level, last)
-            if value >> (len(self.planes) - 1 - level) & 1:
-                first, last = self.zeros[level] + a, self.zeros[level] + b
+    def _range(self, code: int, first: int, last: int) -> tuple[int, int]:
+        for level, plane in enumerate(self.planes):
+            a, b = plane.rank(first)[0], plane.rank(last)[0]
+            if code >> (len(self.planes) - 1 - level) & 1:
+                first, last = plane.zeros + a, plane.zeros + b
             else:
                 first, last = first - a, last - b
         return first, last
 
+    def occurrences(self, value: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Places of the occurrences from the ``first`` (from 0) to before the ``last`` of an id, in order; to the end without ``last``."""
+        code = self._code(value)
+        if code is None:
+            return np.zeros(0, np.int64)
+        low, high = self._range(code, 0, self.size)
+        at = np.arange(low, high)[first:last]
+        for level in range(len(self.planes) - 1, -1, -1):
+            bit = code >> (len(self.planes) - 1 - level) & 1
+            at = self.planes[level].places(at - self.planes[level].zeros if bit else at, bit)
+        return at
+
     def select(self, value: int, nth: int) -> int:
         """Place of the ``nth`` (from 0) occurrence of an id; IndexError beyond the last."""
-        if not 0 <= nth < self.rank(value, self.size):
+        found = self.occurrences(value, nth, nth + 1) if nth >= 0 else ()
+        if not len(found):
             raise IndexError(nth)
-        value = self.code[value]
-        i = self._range(value, 0, self.size)[0] + nth
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - level) & 1
-            i = self._place(level, i - self.zeros[level] if bit else i, bit)
-        return i
+        return int(found[0])
 
 
 def to_bytes(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> bytes:
-    """One shard: header, then its documents' ids, lengths and null marks, its alphabet and the planes, each part compressed."""
+    """One shard: header; its documents' ids, lengths and null marks and its alphabet, each part compressed; then each plane's ranks at its pieces, the pieces' sizes and the
+    pieces."""
     matrix = WaveletMatrix.build(ids)
-    parts = [docs.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), np.packbits(valid).tobytes(), matrix.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in matrix.planes)]
     out = [struct.pack(HEADER, MAGIC, len(ids), len(docs), len(matrix.planes))]
-    for part in parts:
+    for part in (docs.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), np.packbits(valid).tobytes(), matrix.alphabet.astype("<u4").tobytes()):
         packed = pa.compress(part, codec="zstd", asbytes=True)
         out += [struct.pack("<QQ", len(part), len(packed)), packed]
+    for plane in matrix.planes:
+        out += [plane.before.astype("<i8").tobytes(), np.array([len(p) for p in plane.pieces], "<u4").tobytes(), *plane.pieces]
     return b"".join(out)
 
 
 def from_bytes(blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's matrix, and its documents' ids, lengths and whether the id is not null."""
+    """A shard's matrix, and its documents' ids, lengths and whether the id is not null. The planes stay compressed."""
     magic, size, rows, planes = struct.unpack_from(HEADER, blob)
     if magic != MAGIC:
         raise ValueError("not a shard of token ids")
     at, parts = struct.calcsize(HEADER), []
-    for _ in range(4 + planes):
+    for _ in range(4):
         plain, packed = struct.unpack_from("<QQ", blob, at)
         at += 16
         parts.append(np.frombuffer(pa.decompress(blob[at: at + packed], plain, codec="zstd", asbytes=True), np.uint8) if plain else np.zeros(0, np.uint8))
         at += packed
-    matrix = WaveletMatrix(size, parts[4:], parts[3].view("<u4"))
-    return matrix, parts[0].view("<i8"), parts[1].view("<i8"), np.unpackbits(parts[2], count=rows).astype(bool)
+    count, found = -(-size // (8 * PIECE)), []
+    for _ in range(planes):
+        before = np.frombuffer(blob, "<i8", count + 1, at)
+        sizes = np.frombuffer(blob, "<u4", count, at + 8 * (count + 1))
+        starts = at + 8 * (count + 1) + 4 * count + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        found.append(Plane(size, before, [blob[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]))
+        at = int(starts[-1])
+    return WaveletMatrix(size, found, parts[3].view("<u4")), parts[0].view("<i8"), parts[1].view("<i8"), np.unpackbits(parts[2], count=rows).astype(bool)
 
 
 def writer(content, end_id: int, shard_tokens: int):
@@ -179,7 +224,8 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, sha
 
     Texts are dealt out once, by ranges of (id, text's hash), so a repeated id does not make a range that can't be split; nulls come last. A file is a table of
     one row: the shard's place (``part``, ``number``, and ``before``, the ids of its part before it), its numbers of documents and ids, and the wavelet matrix itself. Spark's commit
-    makes the files of a lost task whole or absent. Null is the empty text. A shard holds about ``shard_tokens`` ids, more only if its last document is longer.
+    makes the files of a lost task whole or absent. Null is the empty text; very long texts are encoded whole; an empty table gives no shard. Rows equal in id and text follow each other
+    in any order. A shard holds about ``shard_tokens`` ids, more only if its last document is longer.
     """
     content = docs.sparkSession.sparkContext.broadcast(tokenizer)
     keyed = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -227,10 +273,10 @@ def occurrences(spark: SparkSession, folder: str, value: int, places: bool = Fal
         for batch in batches:
             for part, number, base, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 matrix = from_bytes(blob)[0]
-                n = matrix.rank(value, matrix.size)
                 if places:
-                    yield pa.RecordBatch.from_arrays([pa.array([base + matrix.select(value, i) for i in range(n)], pa.int64())], ["place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(base + matrix.occurrences(value))], ["place"])
                 else:
+                    n = matrix.rank(value, matrix.size)
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([n], pa.int64())], ["part", "number", "n"])
 
     rows = with_base(spark.read.parquet(folder)).select("part", "number", "base", "content")
