@@ -120,6 +120,9 @@ add("file_symbols", "SELECT path, name, kind, start_line, end_line, signature FR
 add("file_dependents", r"""
 SELECT t.path, c.path AS dependent FROM edge JOIN sym t ON target_id = t.sym_id JOIN sym c ON source_id = c.sym_id WHERE t.path <> c.path
 UNION SELECT t.path, o.path FROM res o JOIN sym t ON o.target_id = t.sym_id WHERE t.path <> o.path""")
+add("dependents_of_file", r"""
+SELECT dependent FROM (SELECT t.path, c.path AS dependent FROM edge JOIN sym t ON target_id = t.sym_id JOIN sym c ON source_id = c.sym_id
+UNION SELECT t.path, o.path FROM res o JOIN sym t ON o.target_id = t.sym_id) WHERE path = 'types/Nation.java' AND dependent <> path""")
 add("linked_docs_topk", r"""
 SELECT doc_id, heading, heading_level, path FROM doc
 WHERE heading ILIKE '%erention%' OR content ILIKE '%erention%' OR heading ILIKE '%oueau%' OR content ILIKE '%oueau%'
@@ -151,6 +154,8 @@ WHERE kind <> 'interface' AND name IN (SELECT w FROM (
 # --- resolution
 add("resolve_occurrences", "SELECT occ_id, path, spelling, coalesce(target_id, 0) AS target_id, resolution_kind, coalesce(confidence, 0) AS confidence FROM res")
 add("resolution_edges", "SELECT * FROM edge")
+add("incremental_resolution", "SELECT occ_id, path, spelling, coalesce(target_id, 0) AS target_id, resolution_kind, coalesce(confidence, 0) AS confidence FROM res")
+add("incremental_edges", "SELECT * FROM edge")
 
 # --- usages
 
@@ -226,6 +231,27 @@ IMPACTED = "SELECT sym_id FROM cand UNION SELECT node FROM below"
 for key, symbol, depth in (("impact_summary", "old_ring", 2), ("impact_summary_types", "AFRICA", 4)):
     add(key, SUMMARY % depth, lookup_ctes([symbol]) + call_walk("SELECT sym_id FROM cand", depth, True)
         + type_walk("SELECT sym_id FROM cand") + tests_cte(IMPACTED))
+PLACE = "path || ':' || start_line"
+
+
+def report_nodes(source, section, title):
+    """A heading and the rows of symbols that a walk found."""
+    return f"""
+UNION ALL SELECT {section}, -1, '', '', 0, chr(10) || '## {title}: ' || count(*) FROM {source}
+UNION ALL SELECT {section}, CAST(depth AS INTEGER), name, path, start_line,
+  '- ' || kind || ' ' || coalesce(qualified_name, name) || ', ' || {PLACE} || ', distance ' || depth || chr(10) || '    ' || signature
+  || CASE WHEN split_part(trim(docstring), chr(10), 1) <> '' THEN chr(10) || '    ' || split_part(trim(docstring), chr(10), 1) ELSE '' END
+FROM {source} JOIN sym ON node = sym_id"""
+
+
+for key, symbol in (("impact_report", "NATION_3"), ("impact_report_method", "Brand12.red_bolt")):
+    add(key, f"""
+SELECT 0 AS section, 0 AS depth, '' AS name, '' AS path, 0 AS line,
+  '# Impact of ' || coalesce(qualified_name, name) || chr(10) || kind || ', ' || {PLACE} || chr(10) || signature AS text FROM cand"""
+        + report_nodes("walked", 1, "Callers") + report_nodes("below", 2, "Types below it") + f"""
+UNION ALL SELECT 3, -1, '', '', 0, chr(10) || '## Uses in tests: ' || count(*) FROM tested
+UNION ALL SELECT 3, 0, '', path, start_line, '- ' || {PLACE} || ' ' || concat_ws(' in ', spelling, test_suite_or_method) FROM tested""",
+        lookup_ctes([symbol]) + call_walk("SELECT sym_id FROM cand", 2, True) + type_walk("SELECT sym_id FROM cand") + tests_cte(IMPACTED))
 add("explore_flow", r"""
 , callers AS (SELECT DISTINCT source_id AS node FROM call_pair WHERE target_id IN (SELECT sym_id FROM cand))
 SELECT 'callee' AS side, node, name, signature, CAST(depth AS INTEGER) AS depth FROM walked JOIN sym ON node = sym_id
@@ -261,10 +287,12 @@ def like_hits(q):
 add("text_like_fallback", like_hits(", le") + " UNION ALL " + like_hits("ch. "))
 
 
-def fused_ctes(query, tokens, fetch, limit, chosen="true"):
-    """CTE ``fused`` with key, item, score, rank, match_reason."""
-    return (lookup_ctes([query]) + bm25(tokens) + best_cte(tokens, fetch * 2) + f"""
-    , ex AS (SELECT *, row_number() OVER (ORDER BY path, start_byte, symbol_key) - 1 AS position FROM (SELECT * FROM cand ORDER BY path, start_byte, symbol_key LIMIT {fetch})),
+def fused_ctes(query, tokens, fetch, limit, kind=None):
+    """CTE ``fused`` with key, item, score, rank, match_reason; both lists hold only rows of ``kind`` before they are cut."""
+    exact = f"WHERE kind = '{kind}'" if kind else ""
+    text = f"WHERE entity_type = '{kind}' OR entity_type = 'symbol' AND entity_id IN (SELECT CAST(sym_id AS VARCHAR) FROM sym WHERE kind = '{kind}')" if kind else ""
+    return (lookup_ctes([query]) + bm25(tokens) + f", wanted AS (SELECT * FROM hit {text})" + best_cte(tokens, fetch * 2, source="wanted") + f"""
+    , ex AS (SELECT *, row_number() OVER (ORDER BY path, start_byte, symbol_key) - 1 AS position FROM (SELECT * FROM cand {exact} ORDER BY path, start_byte, symbol_key LIMIT {fetch})),
     parts AS (
       SELECT 0 AS list, position, symbol_key AS key, 'symbol' AS entity_type, CAST(sym_id AS VARCHAR) AS entity_id, CAST(NULL AS VARCHAR) AS title, path, CAST(NULL AS VARCHAR) AS body,
              1.5 / (60.0 + position + 1)::DOUBLE AS part, false AS titled FROM ex
@@ -276,7 +304,7 @@ def fused_ctes(query, tokens, fetch, limit, chosen="true"):
     grouped AS (
       SELECT key, sum(part) AS raw, min(list * 1000000 + position) AS place, first(entity_type ORDER BY list, position) AS entity_type,
         first(entity_id ORDER BY list, position) AS entity_id, first(title ORDER BY list, position) AS title, first(path ORDER BY list, position) AS path,
-        bool_or(titled) AS titled, bool_or(list = 0) AS was_exact FROM parts WHERE {chosen} GROUP BY key),
+        bool_or(titled) AS titled, bool_or(list = 0) AS was_exact FROM parts GROUP BY key),
     fused AS (
       SELECT key, entity_type, entity_id, title, path, round_even(raw, 4) AS score,
         CAST(row_number() OVER (ORDER BY round(raw, 12) DESC, place) AS INTEGER) AS rank,
@@ -290,9 +318,16 @@ add("proximity_rerank", r"""
 r AS (SELECT *, row_number() OVER (ORDER BY round(score + CASE WHEN pd IS NOT NULL THEN (SELECT max(score) FROM fused) * (0.5 / (1 + pd)) ELSE 0 END, 12) DESC, rank) AS nr FROM b)
 SELECT key, entity_type, score, CAST(nr AS INTEGER) AS rank, coalesce(pd, -1) AS proximity_depth FROM r WHERE nr <= 8""",
     fused_ctes("NATION_3", ["nation", "3"], 24, 24) + near_walk("SELECT sym_id FROM sym WHERE path = 'types/Region.java'"))
+add("hybrid_context", r"""
+, b AS (SELECT f.*, CASE WHEN entity_type = 'symbol' THEN d.depth END AS pd FROM fused f LEFT JOIN dist d ON entity_type = 'symbol' AND entity_id = CAST(d.node AS VARCHAR)),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score + CASE WHEN pd IS NOT NULL THEN (SELECT max(score) FROM fused) * (0.5 / (1 + pd)) ELSE 0 END, 12) DESC, rank) AS nr FROM b)
+SELECT entity_type, coalesce(symbol_key, '-') AS symbol_key, r.path, score, CAST(nr AS INTEGER) AS rank, coalesce(pd, -1) AS proximity_depth
+FROM r LEFT JOIN (SELECT sym_id, symbol_key FROM sym) s ON entity_type = 'symbol' AND entity_id = CAST(s.sym_id AS VARCHAR) WHERE nr <= 8""",
+    fused_ctes("NATION_3", ["nation", "3"], 24, 24) + near_walk("SELECT sym_id FROM sym WHERE path = 'types/Region.java'"))
 FOUND = """SELECT entity_type, coalesce(symbol_key, '-') AS symbol_key, coalesce(title, '-') AS title, f.path, score, rank, match_reason
 FROM fused f LEFT JOIN (SELECT sym_id, symbol_key, kind, name, qualified_name FROM sym) s ON entity_type = 'symbol' AND entity_id = CAST(s.sym_id AS VARCHAR)"""
-add("rrf_kinds_filter", FOUND + " WHERE kind = 'method' OR entity_type = 'method'", fused_ctes("small_ring", ["small", "ring"], 10, 10, "key IN (SELECT symbol_key FROM sym WHERE kind = 'method') OR entity_type = 'method'"))
+add("rrf_kinds_filter", FOUND, fused_ctes("small_ring", ["small", "ring"], 10, 10, "method"))
+add("rrf_kinds_deep", FOUND, fused_ctes("customer java", ["customer", "java"], 5, 5, "occurrence"))
 add("filename_augment", f"""
 , ranked AS ({FOUND}),
 named AS (SELECT * FROM (SELECT * FROM file WHERE path ILIKE '%economy_1%' ORDER BY length(path), path LIMIT 20) WHERE path NOT IN (SELECT path FROM ranked)),
@@ -433,6 +468,8 @@ PYTHON_REFS = [
     ("'inner'", "call", NONE, 14, 14, P_SETTLE), ("'capture'", "call", "'gateway'", 14, 14, P_SETTLE),
     ("'Order' || k", "call", NONE, 18, 18, P_LOAD)]
 add("python_references", reference_rows("path", PYTHON, PYTHON_REFS))
+SQL["parent_links"] = f"""SELECT c.path, c.symbol_key, coalesce(p.symbol_key, '-') AS parent FROM ({SQL['java_symbols']}) c
+LEFT JOIN ({SQL['java_symbols']}) p ON p.path = c.path AND p.symbol_key = c.parent_key"""
 SQL["java_flat_symbols"] = SQL["java_symbols"]
 add("kotlin_flat_symbols", "SELECT * REPLACE (CASE WHEN name LIKE 'Shipper%' THEN 'interface' ELSE kind END AS kind) FROM ("
     + SQL["kotlin_symbols"][len(PRELUDE):] + ")")

@@ -24,3 +24,7 @@ class AmbiguousSymbol(CodeloomError):
 
 class UnsupportedLanguage(CodeloomError):
     """No parser for a file."""
+
+
+class CommitConflict(CodeloomError):
+    """Another writer committed first."""

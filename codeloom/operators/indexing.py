@@ -6,13 +6,23 @@ from codeloom import constants as C
 from codeloom.functions import paths
 
 
-def discoverable(listing: DataFrame, excludes=C.DEFAULT_EXCLUDES, gitignore=(),
-                 max_file_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """Supported, visible, not ignored and not oversized files, with their language."""
+def visible(listing: DataFrame, excludes=C.DEFAULT_EXCLUDES, gitignore=()) -> DataFrame:
+    """Supported, visible and not ignored files, with their language."""
     return (listing.where(~paths.is_hidden("path"))
             .where(~paths.is_ignored("path", excludes, gitignore))
             .withColumn("language", paths.language_of("path"))
-            .where(F.col("language").isNotNull() & (F.col("size_bytes") <= max_file_bytes)))
+            .where(F.col("language").isNotNull()))
+
+
+def too_large(files: DataFrame, max_file_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
+    """``skipped_reason`` of files that are too large to parse; null for all others."""
+    return files.withColumn("skipped_reason", F.when(F.col("size_bytes") > max_file_bytes, "too_large"))
+
+
+def discoverable(listing: DataFrame, excludes=C.DEFAULT_EXCLUDES, gitignore=(),
+                 max_file_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
+    """Supported, visible, not ignored and not oversized files, with their language."""
+    return visible(listing, excludes, gitignore).where(F.col("size_bytes") <= max_file_bytes)
 
 
 def drift(scan: DataFrame, indexed: DataFrame) -> DataFrame:

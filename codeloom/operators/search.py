@@ -1,33 +1,36 @@
 """Text search over the search documents, rank fusion and graph-proximity ranking."""
 
-import math
+import functools
+import operator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codeloom import constants as C
 from codeloom.functions import identifiers as ident
-from codeloom.functions import paths, text
+from codeloom.functions import paths
 from codeloom.functions.like import like_text
-from codeloom.operators import graph, lookup
+from codeloom.operators import graph, lookup, postings
 from codeloom.operators.lineage import bounded
+from codeloom.operators.postings import index_words  # noqa: F401  (part of this module's interface)
 from codeloom.operators.usages import attach
 
 TIE_ORDER = ("path", "entity_type", "entity_id", "title", "body")
+HIT = ("entity_type", "entity_id", "title", "path", "body")
 
 
 def search_documents(symbols: DataFrame, occurrences: DataFrame, docs: DataFrame) -> DataFrame:
-    """One searchable row per symbol, occurrence and section."""
+    """One searchable row per symbol, occurrence and section; ``kind`` is that of a symbol."""
     sym = symbols.select(
         F.lit("symbol").alias("entity_type"), F.col("sym_id").cast("string").alias("entity_id"),
         F.coalesce("qualified_name", "name").alias("title"), "path",
-        F.concat(F.col("signature"), F.lit("\n"), F.coalesce("docstring", F.lit(""))).alias("body"))
+        F.concat(F.col("signature"), F.lit("\n"), F.coalesce("docstring", F.lit(""))).alias("body"), "kind")
     occ = occurrences.select(
         F.lit("occurrence").alias("entity_type"), F.col("occ_id").cast("string").alias("entity_id"),
-        F.col("spelling").alias("title"), "path", F.coalesce("receiver", F.lit("")).alias("body"))
+        F.col("spelling").alias("title"), "path", F.coalesce("receiver", F.lit("")).alias("body"), F.lit(None).cast("string").alias("kind"))
     doc = docs.select(
         F.lit("doc").alias("entity_type"), F.col("doc_id").cast("string").alias("entity_id"),
         F.concat("heading", F.lit(" ("), F.array_join("heading_path", " > "), F.lit(")")).alias("title"),
-        "path", F.col("content").alias("body"))
+        "path", F.col("content").alias("body"), F.lit(None).cast("string").alias("kind"))
     return sym.unionByName(occ).unionByName(doc)
 
 
@@ -43,47 +46,19 @@ def min_matches(tokens: list[str]) -> int:
     return (len(tokens) + 1) // 2 if len(tokens) >= 3 else 1
 
 
-def index_words(documents: DataFrame) -> DataFrame:
-    """Search documents with the words of title, path and body, each after a space, and their number."""
-    words = text.search_tokens(F.concat_ws(" ", "title", "path", "body"))
-    return (documents.withColumn("_list", words).withColumn("n_words", F.size("_list"))
-            .withColumn("words", F.concat(F.lit(" "), F.array_join("_list", " "))).drop("_list"))
+def bm25_matches(documents, tokens: list[str], path_prefix: str | None = None) -> DataFrame:
+    """Every document (of a text index, or of rows that are indexed first) holding a word that starts with a query token, with its ``bm25`` score.
 
-
-def prefix_count(words, prefix: str):
-    """How many words start with a prefix: occurrences of the prefix right after a space."""
-    mark = " " + prefix
-    without = F.replace(words, F.lit(mark), F.lit(""))
-    return ((F.octet_length(words) - F.octet_length(without)) / len(mark.encode())).cast("int")
-
-
-def bm25_matches(documents: DataFrame, tokens: list[str], path_prefix: str | None = None) -> DataFrame:
-    """Every document holding a word that starts with a query token, with its ``bm25`` score.
-
-    Lower is better. Corpus figures come from one aggregate over all documents; scoring is row
-    by row, so no posting list and no document pair ever moves between tasks.
+    Lower is better. Only the blocks of the query's terms and the documents that match are read.
     """
-    spark = documents.sparkSession
-    # a token of several words asks for them in a row, the last as a prefix
-    asked = spark.sql("SELECT 1").select(*(F.array_join(text.search_tokens(F.lit(t)), " ") for t in tokens)).first()
-    folded = [words for words in asked if words]
-    counted = documents if "words" in documents.columns else index_words(documents)
-    for i, t in enumerate(folded):
-        counted = counted.withColumn(f"_tf{i}", prefix_count(F.col("words"), t))
-    figures = counted.agg(
-        F.count("*").alias("docs"), F.avg("n_words").alias("avg_len"),
-        *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(folded)))).first()   # one row
-    length_norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("n_words") / F.lit(figures["avg_len"] or 1.0))
-    score = F.lit(0.0)
-    for i in range(len(folded)):
-        df = figures[f"df{i}"]
-        idf = math.log((figures["docs"] - df + 0.5) / (df + 0.5))
-        tf = F.col(f"_tf{i}")
-        score = score + F.lit(idf if idf > 0 else C.BM25_IDF_FLOOR) * tf * (C.BM25_K1 + 1) / (tf + length_norm)
-    hits = counted.drop("words").where(paths.any_of(F.col(f"_tf{i}") > 0 for i in range(len(folded))))
+    index = postings.as_index(documents)
+    found = postings.folded(index.documents.sparkSession, tokens)
+    if not found:
+        return index.documents.where(F.lit(False)).select(*HIT, F.lit(0.0).alias("bm25"))
+    hits = postings.Query(index, found).matches()
     if path_prefix:
         hits = hits.where(like_text("path", path_prefix + "%"))
-    return hits.select("entity_type", "entity_id", "title", "path", "body", (-score).alias("bm25"))
+    return hits.select(*HIT, "bm25")
 
 
 def token_overlap(tokens: list[str]):
@@ -92,21 +67,37 @@ def token_overlap(tokens: list[str]):
     return sum((F.when(F.contains(haystack, F.lit(t)), 1).otherwise(0) for t in tokens if t), F.lit(0))
 
 
-def search_text(documents: DataFrame, query: str, path_prefix: str | None = None, limit: int = 15,
-                entity_type: str | None = None) -> DataFrame:
-    """Best matches, of one type if asked for, with ``bm25`` and a 0-based ``position``; only the top is cut, after all filters."""
-    documents_of = documents if entity_type is None else documents.where(F.col("entity_type") == entity_type)
-    tokens = query_tokens(documents.sparkSession, query)
+def of_kinds(kinds):
+    """Documents of the given types, or symbols of the given kinds."""
+    return F.col("kind").isin(*kinds) | F.col("entity_type").isin(*kinds)
+
+
+def search_text(documents, query: str, path_prefix: str | None = None, limit: int = 15,
+                entity_type: str | None = None, kinds=None) -> DataFrame:
+    """Best matches, of one type or of some kinds if asked for, with ``bm25`` and a 0-based ``position``; only the top is cut, after all filters. Scores are by
+    the figures of all documents."""
+    index = postings.as_index(documents)
+    spark = index.documents.sparkSession
+    tokens = query_tokens(spark, query)
+    keep = [F.col("entity_type") == entity_type] if entity_type is not None else []
+    if kinds:
+        keep.append(of_kinds(kinds))
     if not any(tokens):
-        return like_fallback(documents_of, query, limit)
+        rows = index.documents
+        for test in keep:
+            rows = rows.where(test)
+        return like_fallback(rows, query, limit)
+    if path_prefix:
+        keep.append(like_text("path", path_prefix + "%"))
     needed = min_matches(tokens)
-    order = (F.round("bm25", 9), *TIE_ORDER)
-    hits = bm25_matches(documents, tokens, path_prefix)   # scored by the figures of all documents
-    if entity_type is not None:
-        hits = hits.where(F.col("entity_type") == entity_type)
     if needed > 1:
-        hits = hits.where(token_overlap(tokens) >= needed)
-    return _positioned(hits.orderBy(*order).limit(limit), *order)
+        keep.append(token_overlap(tokens) >= needed)
+    order = (F.round("bm25", 9), *TIE_ORDER)
+    found = postings.folded(spark, tokens)
+    if not found:
+        return _positioned(index.documents.where(F.lit(False)).select(*HIT, F.lit(0.0).alias("bm25")), *order)
+    best = postings.Query(index, found).best(limit, functools.reduce(operator.and_, keep) if keep else None, list(order))
+    return _positioned(best.select(*HIT, "bm25"), *order)
 
 
 def _positioned(best: DataFrame, *order) -> DataFrame:
@@ -114,23 +105,27 @@ def _positioned(best: DataFrame, *order) -> DataFrame:
     return bounded(best.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1))
 
 
-def like_fallback(documents: DataFrame, query: str, limit: int = 15) -> DataFrame:
+def like_fallback(documents, query: str, limit: int = 15) -> DataFrame:
     """Plain substring search, for queries without any word."""
     pattern = f"%{query}%"
+    documents = documents.documents if isinstance(documents, postings.TextIndex) else documents
     hits = documents.where(paths.any_of(like_text(c, pattern) for c in ("title", "body", "path")))
     best = hits.orderBy(*TIE_ORDER).limit(limit).withColumn("bm25", F.lit(1.0))
     return _positioned(best.select("entity_type", "entity_id", "title", "path", "body", "bm25"), *TIE_ORDER)
 
 
-def search_exact(symbols: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search_exact(symbols: DataFrame, query: str, limit: int = 10, kinds=None) -> DataFrame:
     order = ("path", "start_byte", "symbol_key")
-    best = lookup.lookup_symbols(symbols, query).orderBy(*order).limit(limit)
+    best = lookup.lookup_symbols(symbols, query)
+    if kinds:
+        best = best.where(F.col("kind").isin(*kinds) | F.lit("symbol" in kinds))
+    best = best.orderBy(*order).limit(limit)
     return _positioned(best, *order)
 
 
-def fuse(exact: DataFrame, text_hits: DataFrame, symbols: DataFrame, query: str, limit: int = 8,
-         kinds=None) -> DataFrame:
-    """Weighted reciprocal-rank fusion of an exact and a text result list; ``kinds`` (of symbols or entities) are chosen before the cut."""
+def fuse(exact: DataFrame, text_hits: DataFrame, symbols: DataFrame, query: str, limit: int = 8) -> DataFrame:
+    """Weighted reciprocal-rank fusion of an exact and a text result list; both lists must be of ``kinds`` (of symbols or entities) already, if any are
+    asked for: a list that is cut before its rows are chosen may hold none of them."""
     left = exact.select(
         F.lit(0).alias("list"), "position", F.col("symbol_key").alias("key"),
         F.lit("symbol").alias("entity_type"), F.col("sym_id").cast("string").alias("entity_id"),
@@ -152,8 +147,6 @@ def fuse(exact: DataFrame, text_hits: DataFrame, symbols: DataFrame, query: str,
                           + F.when(in_title, C.RRF_TITLE_BONUS).otherwise(0.0))
               .withColumn("in_title", in_title)
               .withColumn("place", F.struct("list", "position")))
-    if kinds:
-        scored = scored.where(F.col("kind").isin(*kinds) | F.col("entity_type").isin(*kinds))
     item = F.min_by(F.struct("entity_type", "entity_id", "title", "path", "body"), "place")
     fused = scored.groupBy("key").agg(
         F.sum("part").alias("raw_score"), F.min("place").alias("place"), item.alias("item"),
@@ -179,7 +172,8 @@ def context_seeds(symbols: DataFrame, context: str) -> DataFrame:
 def rerank_by_proximity(ranked: DataFrame, symbols: DataFrame, edges: DataFrame, context: str,
                         limit: int) -> DataFrame:
     """Raise symbols close to the context in the graph; ranks are assigned anew."""
-    distance = graph.graph_proximity(edges, context_seeds(symbols, context)).select(
+    shown = ranked.where(F.col("entity_type") == "symbol").select(F.col("entity_id").cast(symbols.schema["sym_id"].dataType))   # at most the fetched rows
+    distance = graph.proximity_of(edges, context_seeds(symbols, context), shown).select(
         F.col("node").cast("string").alias("entity_id"), F.col("depth").alias("proximity_depth"))
     near = attach(ranked, distance, "entity_id").withColumn(
         "proximity_depth", F.when(F.col("entity_type") == "symbol", F.col("proximity_depth")))
@@ -194,13 +188,13 @@ def rerank_by_proximity(ranked: DataFrame, symbols: DataFrame, edges: DataFrame,
         .where(F.col("_rank") <= limit).drop("rank").withColumnRenamed("_rank", "rank"))
 
 
-def search(symbols: DataFrame, documents: DataFrame, edges: DataFrame, files: DataFrame, query: str,
+def search(symbols: DataFrame, documents, edges: DataFrame, files: DataFrame, query: str,
            path_prefix=None, kinds=None, limit: int = C.SEARCH_LIMIT, context: str | None = None) -> DataFrame:
     """Hybrid search: exact and text lists fused, ranked near the context, files by name added."""
     limit = min(limit or C.SEARCH_LIMIT, C.SEARCH_LIMIT_MAX)
     fetch = limit * 3 if context else limit
-    ranked = fuse(search_exact(symbols, query, fetch),
-                  search_text(documents, query, path_prefix, fetch * 2), symbols, query, fetch, kinds)
+    ranked = fuse(search_exact(symbols, query, fetch, kinds),
+                  search_text(documents, query, path_prefix, fetch * 2, kinds=kinds), symbols, query, fetch)
     if context:
         ranked = rerank_by_proximity(ranked, symbols, edges, context, limit)
     else:
@@ -239,7 +233,7 @@ def paths_by_name(ranked: DataFrame, files: DataFrame, query: str, kinds, limit:
         F.lit("filename_match").alias("match_reason"), F.lit(None).cast("int").alias("proximity_depth"))
 
 
-def feature_context(documents: DataFrame, symbols: DataFrame, docs: DataFrame, feature: str,
+def feature_context(documents, symbols: DataFrame, docs: DataFrame, feature: str,
                     path_prefix=None) -> DataFrame:
     """Sections and symbols that describe a feature, in display order (block, position)."""
     sections = search_text(documents, feature, path_prefix, 3, "doc")

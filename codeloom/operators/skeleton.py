@@ -18,9 +18,11 @@ def redactions(files: DataFrame, symbols: DataFrame) -> DataFrame:
     placed = outer.join(files.select("path", "content"), "path")
     head = F.substring("content", F.col("body_start_byte") + 1, 1).cast("string")
     # Python bodies go from the start of their first line to the end of the function
-    before = F.substring("content", 1, F.col("body_start_byte")).cast("string")
-    pad = F.octet_length(before) - F.octet_length(F.regexp_replace(before, r"[ \t]+\z", ""))
-    own_line = (before == "") | F.regexp_replace(before, r"[ \t]+\z", "").endswith("\n")
+    # what stands before a body is looked at from the function's start on, not from the file's: the work follows the functions' own sizes
+    before = F.substring("content", F.col("start_byte") + 1, F.col("body_start_byte") - F.col("start_byte")).cast("string")
+    trimmed = F.rtrim(before, F.lit(" \t"))
+    pad = F.octet_length(before) - F.octet_length(trimmed)
+    own_line = trimmed.endswith("\n")
     indent = F.repeat(F.lit(" "), pad)
     only_doc = F.substring("content", F.col("body_start_byte") + 1, 3).cast("string").rlike("^[rRuU]?[\"']") & F.col("docstring").isNotNull()
     python = F.when(own_line, F.when(only_doc, F.concat(F.lit('"""'), "docstring", F.lit('"""\n'), indent)).otherwise(F.lit("")))

@@ -60,9 +60,10 @@ def rank_usages(matches: DataFrame, limit: int = C.USAGES_LIMIT, include_probabl
     return bounded(shown.orderBy(*ORDER).limit(limit).withColumn("seq", F.row_number().over(Window.orderBy(*ORDER))))
 
 
-def count_by_status(matches: DataFrame, include_probable: bool = True, min_confidence: float | None = None) -> DataFrame:
-    """How many of all matches are shown or hidden for each reason, in one aggregate."""
-    return with_status(matches, include_probable, min_confidence).groupBy("status").agg(F.count("*").alias("n"))
+def count_by_status(matches: DataFrame, include_probable: bool = True, min_confidence: float | None = None, by_tier: bool = False) -> DataFrame:
+    """How many of all matches are shown or hidden for each reason, in one aggregate; ``by_tier`` adds how many of them are exact."""
+    exact = [F.count_if(F.coalesce("confidence", F.lit(0.0)) >= C.EXACT_CONFIDENCE).alias("exact")] if by_tier else []
+    return with_status(matches, include_probable, min_confidence).groupBy("status").agg(F.count("*").alias("n"), *exact)
 
 
 def describe_usages(ranked: DataFrame, symbols: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.functions import identifiers as ident
 from codeloom.functions import text
-from codeloom.operators import resolve, search
+from codeloom.operators import postings, resolve, search
 from codeloom.operators.lineage import materialize
 
 
@@ -164,9 +164,9 @@ class Carrier:
         return search.search_documents(self.symbols, self.occurrences, self.docs)
 
     @cached_property
-    def search_index(self) -> DataFrame:
-        """Search documents with their words, written once."""
-        return materialize(search.index_words(self.search_documents))
+    def search_index(self) -> postings.TextIndex:
+        """The inverted index of the search documents, written once."""
+        return postings.build(self.search_documents)
 
     @cached_property
     def sources(self) -> DataFrame:

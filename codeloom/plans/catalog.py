@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions import identifiers as ident
 from codeloom.functions import paths, text
-from codeloom.operators import (build, graph, indexing, lookup, pysyntax, resolve, search, sections, session,
+from codeloom.operators import (build, graph, indexing, lookup, maintain, pysyntax, resolve, search, sections, session,
                                 skeleton, syntax, usages)
-from codeloom.operators.lineage import shared_folder
+from codeloom.operators.lineage import materialize, shared_folder
 from codeloom.plans import generated, reports
 from codeloom.plans.carrier import doc_path, index_of
 from codeloom.sources.store import IndexStore
@@ -147,7 +147,7 @@ def index_upsert(c):
 
 @query
 def search_document_rows(c):
-    return c.search_documents
+    return c.search_documents.drop("kind")
 
 
 # --- lookups --------------------------------------------------------------------------------
@@ -206,6 +206,11 @@ def file_dependents(c):
     return lookup.file_dependencies(c.symbols, c.resolved, c.edges)
 
 
+@query
+def dependents_of_file(c):
+    return lookup.get_file_dependents(c.symbols, c.resolved, c.edges, "types/Nation.java")
+
+
 @query
 def linked_docs_topk(c):
     return lookup.get_linked_docs(c.docs, ["erention", "oueau", ""], "lib/src1.py", 5).select("doc_id", "heading", "heading_level", "path")
@@ -246,6 +251,34 @@ def resolution_edges(c):
     return fresh.select("source_id", "target_id", "occ_id", "kind", "resolution_kind", "confidence")
 
 
+def _maintained(c):
+    """The resolution of an earlier index, brought up to the present rows by maintenance alone. In the files of a ninth of the paths a third of the symbols were missing, another
+    third had other names, and half of the occurrences were missing."""
+    touched = c.symbols.where((F.col("kind") == "method") & (F.pmod(F.xxhash64("path"), F.lit(9)) == 0)).select("path").distinct()
+    inside = c.symbols.join(touched, "path", "left_semi")
+    old = F.pmod(F.col("sym_id"), F.lit(3))
+    before = inside.where(old != 0).withColumn("name", F.when(old == 1, F.concat("name", F.lit("_old"))).otherwise(F.col("name")))
+    symbols = materialize(c.symbols.join(touched, "path", "left_anti").unionByName(before))
+    present = c.occurrences.join(touched, "path", "left_semi").where(F.pmod("occ_id", F.lit(2)) == 1)
+    occurrences = materialize(c.occurrences.join(touched, "path", "left_anti").unionByName(present))
+    resolved = materialize(resolve.resolve_occurrences(occurrences, symbols))
+    return resolved, touched, maintain.maintain(resolved, c.occurrences, c.symbols, touched, symbols)
+
+
+@query
+def incremental_resolution(c):
+    resolved, touched, change = _maintained(c)
+    whole = maintain.applied(resolved, change, touched)
+    return whole.select("occ_id", "path", "spelling", F.coalesce("target_id", F.lit(0)).alias("target_id"),
+                        "resolution_kind", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+@query
+def incremental_edges(c):
+    resolved, _, change = _maintained(c)
+    return maintain.with_edges(resolve.derive_edges(resolved), maintain.edge_changes(change))
+
+
 # --- usages ---------------------------------------------------------------------------------
 
 def _matches(c, symbol, kind=None, class_context=None):
@@ -342,6 +375,19 @@ def impact_summary_types(c):
     return reports.impact_summary(*reports.impact_parts(c.symbols, c.resolved, c.edges, anchors, 4), 4)
 
 
+@query
+def impact_report(c):
+    """The whole report on a type as rows of text, with all that is below it, calls it or tests it."""
+    anchors = lookup.lookup_symbols(c.symbols, "NATION_3")
+    return reports.impact_lines(anchors, *reports.impact_parts(c.symbols, c.resolved, c.edges, anchors, 2))
+
+
+@query
+def impact_report_method(c):
+    anchors = lookup.lookup_symbols(c.symbols, "Brand12.red_bolt")
+    return reports.impact_lines(anchors, *reports.impact_parts(c.symbols, c.resolved, c.edges, anchors, 2))
+
+
 @query
 def explore_flow(c):
     anchors = lookup.lookup_symbols(c.symbols, "Brand7.cold_plate")
@@ -400,6 +446,14 @@ def proximity_rerank(c):
     return r.select("key", "entity_type", "score", "rank", F.coalesce("proximity_depth", F.lit(-1)).alias("proximity_depth"))
 
 
+@query
+def hybrid_context(c):
+    """The whole hybrid search with a context, not its parts."""
+    r = search.search(c.symbols, c.search_index, c.edges, c.files, "NATION_3", limit=8, context="AFRICA")
+    return r.select("entity_type", F.coalesce("symbol_key", F.lit("-")).alias("symbol_key"), "path", "score", "rank",
+                    F.coalesce("proximity_depth", F.lit(-1)).alias("proximity_depth"))
+
+
 def _found(df):
     return df.select("entity_type", F.coalesce("symbol_key", F.lit("-")).alias("symbol_key"), F.coalesce("title", F.lit("-")).alias("title"),
                      "path", "score", F.coalesce("rank", F.lit(0)).alias("rank"), "match_reason")
@@ -410,6 +464,12 @@ def rrf_kinds_filter(c):
     return _found(search.search(c.symbols, c.search_index, c.edges, c.files, "small_ring", kinds=["method"], limit=10))
 
 
+@query
+def rrf_kinds_deep(c):
+    """The wanted kind ranks far below the first rows of both lists: every symbol of a customer holds the words more often."""
+    return _found(search.search(c.symbols, c.search_index, c.edges, c.files, "customer java", kinds=["occurrence"], limit=5))
+
+
 @query
 def filename_augment(c):
     return _found(search.search(c.symbols, c.search_index, c.edges, c.files, "economy_1", limit=20))
@@ -485,6 +545,15 @@ for _language in ("java", "kotlin", "swift"):
 _language_queries("python", pysyntax.parse)
 
 
+@query
+def parent_links(c):
+    """Symbols of the generated files linked to the symbols that enclose them."""
+    found = syntax.parse(generated.java(c))[0].withColumn("sym_id", F.md5("symbol_key"))
+    names = found.select(F.col("sym_id").alias("parent_id"), F.col("symbol_key").alias("parent"))
+    linked = indexing.link_parents(materialize(found)).join(names, "parent_id", "left")
+    return linked.select("path", "symbol_key", F.coalesce("parent", F.lit("-")).alias("parent"))
+
+
 @query
 def java_flat_symbols(c):
     return _symbol_rows(syntax.parse(generated.java(c), "flat")[0])

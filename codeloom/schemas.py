@@ -11,6 +11,8 @@ SYMBOLS = ("sym_id string, path string, parent_id string, symbol_key string, qua
 OCCURRENCES = ("occ_id string, path string, enclosing_id string, spelling string, role string, "
                "start_byte int, end_byte int, start_line int, end_line int, receiver string")
 
+RESOLVED = OCCURRENCES + ", target_id string, resolution_kind string, confidence double"
+
 DOCS = ("doc_id string, path string, parent_id string, heading_level int, heading string, "
         "heading_path array<string>, content string, start_byte int, end_byte int, "
         "start_line int, end_line int")

@@ -76,12 +76,10 @@ class _Tree:
                     if not entry.is_file():
                         continue
                     stat = entry.stat()
-                    if stat.st_size > self.max_bytes:
-                        continue
                     if part.upto is not None and not part.after < stat.st_mtime_ns <= part.upto:
                         continue
                     content = None
-                    if self.with_content:
+                    if self.with_content and stat.st_size <= self.max_bytes:   # a larger file is listed without content
                         with open(entry.path, "rb") as f:
                             content = f.read()
                 except OSError:
@@ -93,7 +91,7 @@ class _Tree:
         rows, held = [], 0
         for row in self.rows(part):
             rows.append(row)
-            held += row[2] if self.with_content else 256
+            held += len(row[1] or b"") + 256
             if held >= BATCH_BYTES:
                 yield _batch(rows)
                 rows, held = [], 0
@@ -152,6 +150,36 @@ class RepoFiles(DataSource):
         return RepoFilesStream(self.options)
 
 
+def listing(spark, root, config, gitignore=()):
+    """Discovered files of a tree without their contents: path, size_bytes, mtime_ns, language, and ``skipped_reason`` for those that are too large to index."""
+    from codeloom.operators.indexing import too_large, visible
+    found = visible(reader(spark.read, spark, root, config, gitignore, content=False), config.repository.exclude, gitignore)
+    return too_large(found.drop("content"), config.repository.max_file_bytes)
+
+
+def contents(files, root):
+    """Files (path, size_bytes, mtime_ns) with their ``content``, read by tasks in batches of bounded bytes; a file that vanished since is left out."""
+    root = str(root)
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for path, size, mtime in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        content = f.read()
+                except OSError:
+                    continue
+                rows.append((path, content, size, mtime))
+                held += len(content)
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+    return files.select("path", "size_bytes", "mtime_ns").mapInArrow(run, schemas.SOURCES)
+
+
 def scan(spark, root, config, gitignore=(), content=True):
     """Discovered files of a tree: path, content, size_bytes, mtime_ns, language."""
     from codeloom.operators.indexing import discoverable

@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import shutil
 
 import pytest
@@ -176,3 +177,31 @@ def test_cli(spark, repo, tmp_path):
     assert run("symbol", "absent_symbol")[0] == 1
     assert "Impact" in run("impact", "Invoicer.issue", "--no-tests")[1]
     assert run("clean")[0] == 0 and not (root / ".codeloom").exists()
+
+
+def test_nothing_is_lost_between_tree_and_answers(spark, repo, tmp_path):
+    """A file that is too large is listed, one with an old time is indexed, one that can't be read keeps its usages; the stored resolution equals a new one."""
+    from codeloom.operators import resolve
+    root = tmp_path / "copy"
+    shutil.copytree(repo, root, ignore=shutil.ignore_patterns(".codeloom"))
+    (root / ".codeloom.toml").write_text("[repository]\nmax_file_bytes = 5000\n")
+    (root / "src/huge.py").write_text("x = 1\n" * 2000)
+    engine = CodeIndex(spark, root)
+    counts = engine.index()
+    assert counts["too_large_files"] == 1 and counts["indexed_files"] == 7
+    assert [(r.path, r.skipped_reason) for r in engine.skipped_frame().collect()] == [("src/huge.py", "too_large")]
+    moved = root / "src/moved.py"
+    moved.write_text("def arrived(meter):\n    return meter.issue('k')\n")
+    os.utime(moved, (1, 1))
+    watch.watch_tree(spark, engine.store, root, engine.config, [], str(tmp_path / "state"), {"availableNow": True}).awaitTermination()
+    engine.refresh()
+    assert "arrived" in {r["name"] for r in engine.symbols.collect()}
+    full = resolve.resolve_occurrences(engine.store.read("occurrences"), engine.symbols)
+    assert sorted(map(repr, full.collect())) == sorted(map(repr, engine.occurrences.select(*full.columns).collect()))
+    before = engine.find_usages("issue")
+    moved.unlink()
+    found = engine.find_usages("issue")
+    usages = {u["file"]: u["snippet"] for g in found["usages_by_file"] for u in g["usages"]}
+    assert found["total_found"] == before["total_found"] and usages["src/moved.py"] is None and usages["app/Desk.kt"]
+    short = engine.find_usages("issue", limit=1)
+    assert short["truncated"] and short["total_found"] == before["total_found"]

@@ -10,7 +10,7 @@ from checks.compare import compare, duck
 SF = "/root/testdata/sf0.001"
 NAMES = ["ident_tokens", "symbol_query_parts", "path_predicates", "ignore_filter", "content_hash_drift", "symbol_lookup_cascade",
          "file_dependents", "affected_tests", "resolve_occurrences", "usages_by_file", "upstream_callers_d4", "implementations_transitive",
-         "graph_proximity_d3", "impact_summary", "bm25_min_match", "rrf_hybrid", "proximity_rerank", "session_dedup_window",
+         "graph_proximity_d3", "impact_summary", "bm25_min_match", "rrf_hybrid", "rrf_kinds_filter", "rrf_kinds_deep", "incremental_resolution", "incremental_edges", "proximity_rerank", "session_dedup_window",
          "markdown_sections", "python_references", "kotlin_symbols", "session_dedup_stream"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables are absent")
 
