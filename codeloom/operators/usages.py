@@ -73,7 +73,7 @@ def describe_usages(ranked: DataFrame, symbols: DataFrame, sources: DataFrame |
     rows = attach(ranked, enclosing, "enclosing_id")
     if sources is not None:
         rows = attach(rows, sources.select("path", F.col("text").alias("_text")), "path").withColumn(
-            "snippet", text.code_snippet(text.split_lines("_text"), F.col("start_line")))
+            "snippet", F.when(F.col("_text").isNotNull(), text.code_snippet(text.split_lines("_text"), F.col("start_line"))))
     else:
         rows = rows.withColumn("snippet", F.lit(None).cast("string"))
     exact = F.coalesce("confidence", F.lit(0.0)) >= C.EXACT_CONFIDENCE
