@@ -23,7 +23,7 @@ from codeloom.llm.resampling import crcs, resample
 
 def cheapest(rows):
     """The least (cost, audit, edits) for rows (initial, fault): all sequences of edits are tried."""
-    whole, best = re.compile(r"(?:s?(?:ua)+)?\Z"), [(10 ** 9, "", "")]
+    whole, best = re.compile(r"(?:s?(?:ua)+)?\Z"), [(2 * len(rows), "D" * len(rows), "D" * len(rows))]   # all deleted
 
     def tried(i, roles, cost, audit, edits):
         if cost > best[0][0]:
