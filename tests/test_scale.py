@@ -57,3 +57,47 @@ def test_walks_hold_each_node_once(spark):
     walk = graph._bounded_walk(lambda f: graph._steps(edges, ["calls"], f), seeds, 4)
     assert sorted((r["node"], r["depth"], r["via"]) for r in walk.collect()) == [(1, 2, 2), (2, 1, 1), (3, 2, 2), (4, 1, 1)]
     assert sorted(tuple(r) for r in graph.upstream_callers(edges, seeds, 3).select("node", "depth", "via").collect()) == [(1, 2, 2), (2, 1, 1), (3, 1, 1), (4, 2, 2)]
+
+
+DOCUMENT = "entity_type string, entity_id string, title string, path string, body string, kind string"
+
+
+@pytest.fixture
+def small_parts():
+    from codeloom.operators import postings
+    before = postings.PART_BYTES
+    postings.PART_BYTES = 50_000
+    yield postings
+    postings.PART_BYTES = before
+
+
+def test_long_documents_do_not_meet_in_one_task(spark, small_parts):
+    postings = small_parts
+    rows = spark.range(4000).select(
+        F.lit("doc").alias("entity_type"), F.col("id").cast("string").alias("entity_id"), F.lit("t").alias("title"), F.concat(F.lit("p/"), F.col("id") % 7).alias("path"),
+        F.when(F.col("id") % 100 == 0, F.repeat(F.lit("word other "), 1000)).otherwise("word").alias("body"), F.lit(None).cast("string").alias("kind"))
+    index = postings.build(rows)
+    held = index.documents.groupBy(F.shiftright("number", 33).alias("part")).agg(F.sum(F.octet_length("body")).alias("bytes")).collect()
+    assert max(r["bytes"] for r in held) < 4 * postings.PART_BYTES   # of 444,000 bytes
+    assert index.documents.select("number").distinct().count() == 4000
+    tfs = index.blocks.where("term = 'word'").select(F.explode(F.arrays_zip("numbers", "tfs", "sizes")).alias("r")).select("r.*")
+    assert sorted((r[0], r[1]) for r in tfs.groupBy("tfs").count().collect()) == [(1, 3960), (1000, 40)]
+    assert tfs.select("numbers").distinct().count() == 4000
+
+
+def test_only_what_can_be_shown_is_read(spark, small_parts):
+    """Very many matches of the same score: the first in order, without the others' documents."""
+    postings = small_parts
+    from codeloom.operators import search
+    rows = spark.range(30000).select(
+        F.lit("doc").alias("entity_type"), F.format_string("%05d", F.col("id")).alias("entity_id"), F.lit("same").alias("title"),
+        F.format_string("p%05d", (F.col("id") * 7919) % 30000).alias("path"), F.lit("b").alias("body"), F.lit(None).cast("string").alias("kind"))
+    index = postings.build(rows)
+    order = [F.round("bm25", 9), *search.TIE_ORDER]
+    query = postings.Query(index, ["same"])
+    for keep in (None, F.col("entity_id") > "20000"):
+        best = [r.path for r in query.best(5, keep, order).orderBy(*order).collect()]
+        wanted = rows if keep is None else rows.where(keep)
+        assert best == [r.path for r in wanted.orderBy("path").limit(5).collect()]
+        parts = index.documents.select(F.shiftright("number", 33)).distinct().count()
+        assert query._leading(query.ranges(), keep, 5, 0.0).count() <= 5 * parts
