@@ -101,3 +101,12 @@ def test_only_what_can_be_shown_is_read(spark, small_parts):
         assert best == [r.path for r in wanted.orderBy("path").limit(5).collect()]
         parts = index.documents.select(F.shiftright("number", 33)).distinct().count()
         assert query._leading(query.ranges(), keep, 5, 0.0).count() <= 5 * parts
+
+
+def test_python_nodes_come_in_small_frames():
+    import pandas as pd
+    from codeloom.sources import python_nodes
+    batch = pd.DataFrame({"path": [f"f{i}.py" for i in range(3000)], "content": [b"class A(B):\n    def f(self):\n        return g(h(1))\n"] * 2999 + [b"def ("]})
+    frames = list(python_nodes.read_nodes([batch, batch]))
+    assert max(map(len, frames)) < 2 * python_nodes.ROWS
+    assert sum(map(len, frames)) == 2 * (2999 * 4 + 1) and sum(f["path"].nunique() for f in frames) >= 6000
