@@ -110,3 +110,13 @@ def test_python_nodes_come_in_small_frames():
     frames = list(python_nodes.read_nodes([batch, batch]))
     assert max(map(len, frames)) < 2 * python_nodes.ROWS
     assert sum(map(len, frames)) == 2 * (2999 * 4 + 1) and sum(f["path"].nunique() for f in frames) >= 6000
+
+
+def test_call_graph_writes_what_edges_read(spark, monkeypatch):
+    from codeloom.plans import catalog
+    seen = {}
+    kept = catalog.build.written
+    monkeypatch.setattr(catalog.build, "written", lambda tables: seen.update(tables) or kept(tables))
+    edges = catalog.QUERIES["parsed_call_graph"](spark, "/root/testdata/sf0.001")
+    assert not {"signature", "docstring", "parent_id"} & set(seen["symbols"].columns) and "start_byte" not in seen["occurrences"].columns
+    assert edges.count() > 0
