@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, resolve, skew
+from codeloom.operators import graph, resolve, skew, statements, syntax
 from codeloom.operators.lineage import materialize
 
 OCCURRENCE = "occ_id long, path string, enclosing_id long, spelling string, role string, receiver string"
@@ -120,3 +120,26 @@ def test_call_graph_writes_what_edges_read(spark, monkeypatch):
     edges = catalog.QUERIES["parsed_call_graph"](spark, "/root/testdata/sf0.001")
     assert not {"signature", "docstring", "parent_id"} & set(seen["symbols"].columns) and "start_byte" not in seen["occurrences"].columns
     assert edges.count() > 0
+
+
+def test_statements_need_no_row_per_token_and_shapes_are_matched_once(spark):
+    files = spark.createDataFrame([("A.java", "java", bytearray(b"class A { void f() { g(1); } }"))], "path string, language string, content binary")
+    plan = plan_of(syntax.declarations(syntax.statements(files, syntax.source_text("content"))))
+    assert "Window" not in plan and "Sort" not in plan and "explode(regexp_extract_all" not in plan
+    assert all("regexp_extract" not in line for line in plan.splitlines() if line.strip(" +-*()0123456789").startswith("Filter"))
+
+
+def test_files_are_placed_in_bounded_pieces(monkeypatch):
+    import re
+    import pyarrow as pa
+    texts = ["/* a */ class A { // b\n  int f(int x) { return this.g(x).h(); } }"] * 7 + [None, "", "fun `a b`() = c { d }", "}} x ( ["]
+    cut = [None if t is None else re.findall(r"/\*.*?\*/|//[^\n]*|`[^`]*`|\w+|\s+|.", t) for t in texts]
+    batch = pa.RecordBatch.from_pydict({
+        "path": [f"f{i}" for i in range(len(texts))], "language": ["java"] * 9 + ["kotlin", "swift"],
+        "toks": pa.array(cut, pa.list_(pa.string())), "letters": [""] * len(texts), "digits": [None] * len(texts)})
+    whole = pa.Table.from_batches(statements._placed([batch])).to_pylist()
+    monkeypatch.setattr(statements, "TOKENS", 40)
+    pieces = list(statements._placed([batch]))
+    assert len(pieces) > 5 and sorted(map(repr, pa.Table.from_batches(pieces).to_pylist())) == sorted(map(repr, whole))
+    assert {r["shape"] for r in whole if r["path"] == "f6"} == {"class A { }", "int f ( ) { }", "int x", "return this . g ( ) . h ( ) ;", "x"}
+    assert next(r for r in whole if r["shape"] == "class A { }")["comments"] == ["/* a */"]
