@@ -7,6 +7,7 @@ from codeloom.errors import CommitConflict
 from codeloom.functions import paths
 from codeloom.operators import build, indexing, maintain
 from codeloom.operators.lineage import materialize
+from codeloom.operators.skew import FEW
 from codeloom.sources import repo_files
 
 
@@ -28,6 +29,8 @@ def _sync(store, changed: DataFrame, removed: DataFrame | None) -> dict[str, int
     base = store.version()
     hashed = build.with_hash(changed).withColumn("language", paths.language_of("path"))
     known = store.read("files").select("path", "content_hash")
+    if known.limit(FEW + 1).count() <= FEW:
+        known = F.broadcast(known)   # then no content moves
     fresh = hashed.join(known, ["path", "content_hash"], "left_anti").persist()
     try:
         touched = fresh.select("path")
@@ -37,7 +40,9 @@ def _sync(store, changed: DataFrame, removed: DataFrame | None) -> dict[str, int
         total, indexed = changed.count(), fresh.count()
         if touched.isEmpty():
             return {"total_files": total, "indexed_files": 0, "skipped_files": total}
-        tables = build.written(build.build_index(fresh))
+        tables = build.build_index(fresh)
+        # files and sections are read once, by the commit
+        tables |= build.written({name: tables[name] for name in ("symbols", "occurrences")})
         before = {name: store.read(name) for name in ("symbols", "occurrences", "resolved")}
         after = {name: indexing.upsert(before[name], tables[name], touched) for name in ("symbols", "occurrences")}
         change = maintain.maintain(before["resolved"], after["occurrences"], after["symbols"], touched, before["symbols"])

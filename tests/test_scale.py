@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, resolve, skew, statements, syntax
+from codeloom.operators import build, graph, resolve, sections, skew, statements, syntax
 from codeloom.operators.lineage import materialize
 
 OCCURRENCE = "occ_id long, path string, enclosing_id long, spelling string, role string, receiver string"
@@ -143,3 +143,15 @@ def test_files_are_placed_in_bounded_pieces(monkeypatch):
     assert len(pieces) > 5 and sorted(map(repr, pa.Table.from_batches(pieces).to_pylist())) == sorted(map(repr, whole))
     assert {r["shape"] for r in whole if r["path"] == "f6"} == {"class A { }", "int f ( ) { }", "int x", "return this . g ( ) . h ( ) ;", "x"}
     assert next(r for r in whole if r["shape"] == "class A { }")["comments"] == ["/* a */"]
+
+
+def test_texts_of_sections_move_once(spark, no_broadcast):
+    """Two exchanges by path, one of files with headings and one of files without; links between sections need none."""
+    rows = [("a.md", "markdown", bytearray(b"# A\n## B\n```\n# no\n```\n## C\n")), ("b.md", "markdown", bytearray(b"```\n# no\n```\n"))]
+    files = materialize(spark.createDataFrame(rows, "path string, language string, content binary"))
+    assert plan_of(sections.parse(files)).count("Exchange") == 2 and "Join" not in plan_of(sections.parse(files))
+    docs = build.build_index(build.with_hash(files).selectExpr("*", "0L as size_bytes", "0L as mtime_ns"))["docs"]
+    assert plan_of(docs).count("Exchange") <= 3
+    found = {r.heading: r for r in docs.collect()}
+    assert set(found) == {"A", "B", "C", "b.md"} and found["B"].parent_id == found["C"].parent_id == found["A"].doc_id
+    assert found["A"].parent_id is None and found["b.md"].parent_id is None
