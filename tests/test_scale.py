@@ -155,3 +155,41 @@ def test_texts_of_sections_move_once(spark, no_broadcast):
     found = {r.heading: r for r in docs.collect()}
     assert set(found) == {"A", "B", "C", "b.md"} and found["B"].parent_id == found["C"].parent_id == found["A"].doc_id
     assert found["A"].parent_id is None and found["b.md"].parent_id is None
+
+
+NESTED = b'''class A(B.c, D):
+    """Doc."""
+
+    def f(self):
+        def g(x):
+            return h(x)
+        return g(i.j())
+
+
+k()
+'''
+
+
+def test_python_rows_need_no_rows_of_others(spark, no_broadcast):
+    """Keys of what is around a definition or a call come with it: symbols and references are read without a join, and each text moves once."""
+    from codeloom.operators import pysyntax
+    files = materialize(spark.createDataFrame([("a.py", "python", bytearray(NESTED)), ("b.py", "python", bytearray(b"def ("))], "path string, language string, content binary"))
+    symbols, references, errors = pysyntax.parse(files)
+    assert not any(word in plan_of(df) for df in (symbols, references) for word in ("Join", "Exchange"))
+    keys = {"A": "python://a.py#A@L1", "f": "python://a.py::A#f@L4", "g": "python://a.py::A.f#g@L5"}
+    assert {r["name"]: (r["symbol_key"], r["parent_key"]) for r in symbols.collect()} == {"A": (keys["A"], None), "f": (keys["f"], keys["A"]), "g": (keys["g"], keys["f"])}
+    assert {(r["spelling"], r["receiver"], r["enclosing_key"]) for r in references.collect()} == {
+        ("c", None, keys["A"]), ("D", None, keys["A"]), ("h", None, keys["g"]), ("g", None, keys["f"]), ("j", "i", keys["f"]), ("k", None, None)}
+    assert {r["path"]: r["parse_error_count"] for r in errors.collect()} == {"a.py": 0, "b.py": 1}
+
+
+def test_outermost_bodies_take_one_sort_of_bodies(spark, no_broadcast):
+    from codeloom.operators import pysyntax, skeleton
+    files = materialize(spark.createDataFrame([("a.py", "python", bytearray(NESTED))], "path string, language string, content binary"))
+    cuts = skeleton.redactions(files, pysyntax.parse(files)[0])
+    assert plan_of(cuts).count("Window") == 1 and "Union" not in plan_of(cuts)
+    assert [r["name"] for r in cuts.collect()] == ["f"]
+    same_start = spark.createDataFrame([("p", "java", n, None, n, s, e, s, e, "method") for n, s, e in (("a", 0, 9), ("b", 0, 5), ("c", 5, 8), ("d", 9, 12), ("e", 10, 11))],
+                                       "path string, language string, name string, docstring string, symbol_key string, start_byte int, end_byte int, body_start_byte int, body_end_byte int, kind string")
+    whole = spark.createDataFrame([("p", bytearray(b"{" * 12))], "path string, content binary")
+    assert sorted(r["name"] for r in skeleton.redactions(whole, same_start).collect()) == ["a", "b", "d"]
